@@ -110,7 +110,7 @@ l AS (SELECT *, 3 * n AS cap, sum(n) OVER () AS total,
              coalesce(sum(3 * n) OVER (ORDER BY 3 * n / weight, encode(source) NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spent,
              sum(weight) OVER (ORDER BY 3 * n / weight, encode(source) NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest
       FROM w WHERE n > 0),
-level AS (SELECT min((total - spent) / rest) AS level FROM l WHERE cap / weight >= (total - spent) / rest),
+level AS (SELECT arg_min((total - spent) / rest, cap / weight) AS level FROM l WHERE cap / weight >= (total - spent) / rest),
 t AS (SELECT w.source, w.n, CASE WHEN w.n = 0 THEN 0 ELSE least(3 * w.n, coalesce(level * weight, 3 * w.n)) END AS target FROM w, level),
 o AS (SELECT d.*, t.n, t.target, floor(CASE WHEN t.n > 0 THEN t.target / t.n ELSE 0 END) AS whole,
              coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
