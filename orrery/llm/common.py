@@ -216,7 +216,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     for k in range(most_rounds):
         if e.isEmpty():
             break
-        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        both = e.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.a", "e.b")
         rank = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(k)).alias("h"), F.col(c).alias("v"))
         parent = both.groupBy("a").agg(F.min(rank("b")).alias("m")).select(F.col("a").alias("v"), F.when(F.col("m") < rank("a"), F.col("m.v")).otherwise(F.col("a")).alias("p"))
         parent = cut(parent)

@@ -8,8 +8,8 @@ so depth follows density. Tests of signatures drop candidates which can hardly b
 
 Candidates give groups, whose texts then meet once: inside a group all pairs are compared that its links have not yet
 joined, so that links the candidate pairs miss are found, too. Groups beyond ``GROUP_ROWS`` or ``GROUP_BYTES`` are never
-gathered: their candidate pairs are compared one by one, each with the text of a head, in rounds until the heads of all
-parts have been compared. Equal shingle sets are one class from the start, and only its first document goes on.
+gathered: their candidate pairs are compared one by one, and what these leave outside the largest part of a group then
+meets the rest of it, block by block. Equal shingle sets are one class from the start, and only its first document goes on.
 """
 
 from __future__ import annotations
@@ -216,23 +216,19 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     totals = sized.groupBy("component").agg(F.count("*").alias("rows"), F.sum("n").alias("mass"))
     # A shingle stands for a word of the text, about 8 bytes in the task's memory.
     small = totals.where((F.col("rows") <= GROUP_ROWS) & (F.col("mass") * 8 <= GROUP_BYTES)).select("component")
-    members = common.cut(groups.join(small.withColumn("small", F.lit(True)), "component", "left"))
+    members = common.cut(sized.join(small.withColumn("small", F.lit(True)), "component", "left"))
     in_small = members.where("small").select(F.col("id").alias("doc_id"), "component")
     gathered = texts.join(in_small, "doc_id")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.drop_duplicates("doc_id").sort_values("doc_id")
-        sets = []
-        for i in range(0, len(pdf), 64):
-            raw = [t.encode() for t in pdf["text"].iloc[i : i + 64]]
-            sets += shingle_sets(common.Words(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])), k)
         ids = pdf["doc_id"].tolist()
-        part = join_group(ids, sets, percent)
+        part = join_group(ids, _sets(pdf["text"], k), percent)
         return pd.DataFrame({"id": ids, "component": [ids[p] for p in part]})
 
     done = gathered.groupBy("component").applyInPandas(compare, "id long, component long")
     done = common.cut(done)
-    large = members.where("small is null").select("id")
+    large = members.where("small is null").select("id", "n", "component")
     if not large.isEmpty():
         done = done.unionByName(_large(texts, pairs, large, k, percent))
     named = signed.join(reps_of(signed), "key", "left")
@@ -262,22 +258,59 @@ def _verified(texts: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataF
     return both.where(link("ta", "tb")).select("a", "b")
 
 
-def _large(texts: DataFrame, pairs: DataFrame, large: DataFrame, k: int, percent: int, rounds: int = 8) -> DataFrame:
-    """Components of groups too large for a task: candidate pairs are verified one by one, then heads of the parts found."""
+def _large(texts: DataFrame, pairs: DataFrame, large: DataFrame, k: int, percent: int) -> DataFrame:
+    """Components of groups too large for a task: (id, component) of ``large`` (id, n, component).
+
+    Candidate pairs are verified one by one first. What they leave outside the largest part of its group then meets all
+    the group, in tasks of one block of either side; a task gives only the links that join parts.
+    """
     ids = common.cut(large)
-    inside = pairs.join(ids.select(F.col("id").alias("a")), "a", "left_semi")
-    links = common.cut(_verified(texts, inside, k, percent))
-    tried = inside
-    for _ in range(rounds):
-        parts = common.components(links)
-        label = ids.join(parts, "id", "left").select("id", F.coalesce("component", "id").alias("c"))
-        label = common.cut(label)
-        # Candidates whose ends lie in different parts: each end is compared with the head of the other part.
-        apart = inside.join(label.withColumnsRenamed({"id": "a", "c": "ca"}), "a").join(label.withColumnsRenamed({"id": "b", "c": "cb"}), "b").where("ca <> cb")
-        more = apart.select(F.least("a", "cb").alias("a"), F.greatest("a", "cb").alias("b")).unionByName(apart.select(F.least("b", "ca").alias("a"), F.greatest("b", "ca").alias("b"))).distinct()
-        more = common.cut(more.join(tried, ["a", "b"], "left_anti"))
-        if more.isEmpty():
-            break
-        links = common.cut(links.unionByName(_verified(texts, more, k, percent)))
-        tried = tried.unionByName(more)
-    return ids.join(common.components(links), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+    links = common.cut(_verified(texts, pairs.join(ids.select(F.col("id").alias("a")), "a", "left_semi"), k, percent))
+    label = ids.join(common.components(links).withColumnRenamed("component", "part"), "id", "left").withColumn("part", F.coalesce("part", "id"))
+    label = common.cut(label)
+    sizes = label.groupBy("component", "part").agg(F.count("*").alias("rows"), F.sum("n").alias("mass"))
+    main = sizes.groupBy("component").agg(F.max_by("part", F.struct("rows", -F.col("part"))).alias("main"), F.sum("rows").alias("rows"), F.sum("mass").alias("mass"))
+    apart = sizes.join(main.select("component", "main"), "component").where("part <> main").groupBy("component").agg(F.sum("rows").alias("few"), F.sum("mass").alias("few_mass"))
+    blocks = lambda rows, mass, most: F.greatest(F.lit(1), F.ceil(F.col(rows) / most), F.ceil(F.col(mass) * 8 / (GROUP_BYTES // 4))).cast("int")
+    plan = common.cut(main.join(apart, "component").select("component", "main", blocks("rows", "mass", GROUP_ROWS / 2).alias("mbs"), blocks("few", "few_mass", GROUP_ROWS / 8).alias("sbs")))
+    if plan.isEmpty():
+        return label.select("id", F.col("part").alias("component"))
+    held = texts.join(label.join(plan, "component").withColumnRenamed("id", "doc_id"), "doc_id")
+    one = held.where("part <> main").withColumn("sb", F.pmod(F.xxhash64("doc_id"), F.col("sbs")).cast("int")).withColumn("mb", F.explode(F.sequence(F.lit(0), F.col("mbs") - 1)))
+    two = held.withColumn("mb", F.pmod(F.xxhash64("doc_id"), F.col("mbs")).cast("int")).withColumn("sb", F.explode(F.sequence(F.lit(0), F.col("sbs") - 1)))
+
+    def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out: list[tuple[int, int]] = []
+        left, right = left.drop_duplicates("doc_id"), right.drop_duplicates("doc_id")
+        if len(left) and len(right):
+            few, many = _sets(left["text"], k), _sets(right["text"], k)
+            root = {int(x): int(x) for x in (*left["part"], *right["part"])}
+
+            def top(x: int) -> int:
+                while root[x] != x:
+                    x = root[x]
+                return x
+
+            for i, x, a in zip(left["doc_id"].tolist(), few, left["part"].tolist(), strict=True):
+                for j, y, b in zip(right["doc_id"].tolist(), many, right["part"].tolist(), strict=True):
+                    u, v = top(a), top(b)
+                    if u != v and linked(x, y, percent):
+                        root[max(u, v)] = min(u, v)
+                        out.append((i, j))
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    columns = ["component", "sb", "mb", "doc_id", "text", "part"]
+    one = one.select([F.col(c).alias(f"{c}_") for c in columns]).toDF(*columns)  # columns of its own
+    more = one.groupBy("component", "sb", "mb").cogroup(two.select(columns).groupBy("component", "sb", "mb")).applyInPandas(compare, "a long, b long")
+    # The new names keep Spark's optimizer from constraints of the checkpointed rows' past.
+    both = links.select(F.col("a").alias("x"), F.col("b").alias("y")).union(common.cut(more).select(F.col("a").alias("x"), F.col("b").alias("y")))
+    joined = common.components(both.toDF("a", "b"))
+    return ids.select("id").join(joined, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+
+
+def _sets(texts: pd.Series, k: int) -> list[np.ndarray]:
+    out = []
+    for i in range(0, len(texts), 64):
+        raw = [t.encode() for t in texts.iloc[i : i + 64]]
+        out += shingle_sets(common.Words(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])), k)
+    return out
