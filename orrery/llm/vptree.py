@@ -22,6 +22,8 @@ from . import common
 SHARD_ROWS, BLOCK_ROWS = 16_384, 4_096
 #: Vectors of a leaf.
 LEAF = 128
+#: Pairs of a query and a vector that are compared at once.
+PAIRS = 1 << 17
 #: Relaxation of the bound. Recall against brute force is measured in the tests.
 FACTOR = 0.35
 #: Scores that differ by less are computed anew, pair by pair, before they are compared.
@@ -97,6 +99,11 @@ class Search:
 
     def _leaf(self, rows: np.ndarray, who: np.ndarray) -> None:
         self.visited += len(rows) * len(who)
+        step = max(1, PAIRS // max(1, len(rows)))
+        for i in range(0, len(who), step):
+            self._compare(rows, who[i : i + step])
+
+    def _compare(self, rows: np.ndarray, who: np.ndarray) -> None:
         rough = self.unit[who] @ self.tree.unit[rows].T
         rough[self.query_ids[who][:, None] == self.ids[rows][None, :]] = -np.inf
         q, c = np.nonzero(rough >= self.score[who, -1][:, None] - CLOSE)
@@ -122,6 +129,22 @@ class Search:
         return self.query_ids[q], self.best[q, r], self.score[q, r]
 
 
+def first_copies(vectors: np.ndarray, k: int) -> np.ndarray:
+    """Rows, in order, that aren't preceded by more than ``k`` equal vectors.
+
+    Equal vectors have equal scores and ties go to the smaller id, so that with rows ordered by id no result can hold the
+    others: of k + 1 copies, one at most is the query itself.
+    """
+    if not len(vectors):
+        return np.zeros(0, np.int64)
+    _, which = np.unique(vectors, axis=0, return_inverse=True)
+    which = which.ravel()
+    order = np.argsort(which, kind="stable")
+    first = np.r_[True, which[order][1:] != which[order][:-1]]
+    begin = np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))
+    return np.sort(order[np.arange(len(order)) - begin <= k])
+
+
 def usable(vector: Column) -> Column:
     """Neither null nor empty nor zero, and all components finite numbers."""
     bad = F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
@@ -145,17 +168,19 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, factor: float =
     shards = max(1, -(-every.count() // SHARD_ROWS))
     blocks = max(1, -(-asked.count() // BLOCK_ROWS))
     # A task holds a shard and a block; a stated set of queries meets all shards.
-    own = every.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    ask = asked.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).cast("long"))
+    own = every.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    ask = asked.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         empty = pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
         if not len(left) or not len(right):
             return empty
         left = left.sort_values("id")
-        vectors_ = np.array(left["v"].tolist(), np.float64)
+        ids, vectors_ = left["id"].to_numpy(np.int64), np.array(left["v"].tolist(), np.float64)
+        own = first_copies(vectors_, k)
+        ids, vectors_ = ids[own], vectors_[own]
         tree = Tree(vectors_ / np.linalg.norm(vectors_, axis=1, keepdims=True))
-        found = Search(tree, left["id"].to_numpy(np.int64), vectors_, np.array(right["v"].tolist(), np.float64), right["id"].to_numpy(np.int64), k, factor)
+        found = Search(tree, ids, vectors_, np.array(right["v"].tolist(), np.float64), right["id"].to_numpy(np.int64), k, factor)
         q, i, s = found.rows()
         return pd.DataFrame({"query_id": q, "vec_id": i, "score": s})
 
