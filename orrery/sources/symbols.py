@@ -33,12 +33,12 @@ def run_analyzers(files: DataFrame, only: tuple[str, ...] = ()) -> DataFrame:
     return out
 
 
-def some(predicate: Column) -> Callable[[DataFrame], bool]:
-    """A requirement: at least one row fulfils ``predicate``."""
+def some(predicate: str) -> Callable[[DataFrame], bool]:
+    """A requirement: at least one row fulfils ``predicate``, an SQL expression."""
     return lambda df: not df.where(predicate).limit(1).isEmpty()
 
 
-@analyzer("links", 10, some(F.col("text").contains("<a")))
+@analyzer("links", 10, some("text like '%<a%'"))
 def links(files: DataFrame) -> DataFrame:
     """(path, target, pos) of the href attributes of a page, in order."""
     return files.select("path", F.posexplode(F.regexp_extract_all("text", F.lit(r"<a[^>]*href=\"([^\"]*)\""), 1)).alias("pos", "target"))

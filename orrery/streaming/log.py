@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 STATE = "clock long, nonce string, priority long, n long"
 OUT = "item long, clock long, nonce string, priority long, n long"
@@ -46,11 +47,11 @@ def evidence_stream(rows: DataFrame, delay: str = "2 days") -> DataFrame:
 def run_to_table(stream: DataFrame, folder: str, mode: str) -> DataFrame:
     """Run what is there through ``stream`` into Parquet below ``folder`` and read it; each batch is its own folder, so a repeated one is replaced."""
     spark = stream.sparkSession
-    schema = stream.schema
+    schema = StructType([*stream.schema.fields, StructField("batch", IntegerType())])
 
     def put(batch: DataFrame, number: int) -> None:
         batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{folder}/out/b={number}")
 
     q = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(put).start()
     q.awaitTermination()
-    return spark.read.schema(schema.add("batch", "int")).option("recursiveFileLookup", True).parquet(f"{folder}/out")
+    return spark.read.schema(schema).option("recursiveFileLookup", True).parquet(f"{folder}/out")
