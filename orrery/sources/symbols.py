@@ -7,6 +7,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Analyzers by name, in order of priority: (priority, requirement or None, function of DataFrames).
 ANALYZERS: dict[str, tuple[int, Callable | None, Callable]] = {}
@@ -79,7 +80,7 @@ def relationship_edges(index: DataFrame, known: DataFrame) -> DataFrame:
     return j.select("src", dst.alias("dst"), F.explode(kind).alias("type"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def mask_comments(source: pd.Series) -> pd.Series:
     """Comments and docstrings blanked, lengths and lines kept. A scan with strings in mind; no built-in can keep lengths."""
     import re
