@@ -124,3 +124,11 @@ def truncate_at(text: Column, tokens_: int) -> Column:
     head = F.substring(text, 1, most)
     cut = F.regexp_extract(head, r"(?s)^(.+)\n\n", 1)
     return F.when(F.length(text) <= most, text).when(cut != "", cut).otherwise(head)
+
+
+def definitions_and_uses(line: Column) -> Column:
+    """struct(defines, uses) of an assignment `a, b = expression`; other lines only use."""
+    left = F.regexp_extract(line, r"^\s*([A-Za-z_][\w, ]*?)\s*[-+*/]?=(?!=)", 1)
+    words = lambda c: F.array_distinct(F.regexp_extract_all(c, F.lit(r"([A-Za-z_]\w*)"), 1))
+    right = F.when(left != "", F.regexp_replace(line, r"^[^=]*=", "")).otherwise(line)
+    return F.struct(F.when(left != "", words(left)).otherwise(F.array().cast("array<string>")).alias("defines"), words(right).alias("uses"))

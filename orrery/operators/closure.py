@@ -22,7 +22,7 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def reach(seeds: DataFrame, edges: DataFrame, max_hops: int, expands: DataFrame | None = None, key: tuple[str, ...] = ("id",)) -> DataFrame:
+def reach(seeds: DataFrame, edges: DataFrame, max_hops: int, expands: DataFrame | None = None, key: tuple[str, ...] = ("id",), ready: bool = False) -> DataFrame:
     """``key`` columns and depth: what can be reached from ``seeds`` (``key``) along ``edges`` (src, dst), at its least depth.
 
     ``id`` is the node; further key columns are carried unchanged. ``expands`` (id, from_depth) names nodes that aren't
@@ -30,7 +30,9 @@ def reach(seeds: DataFrame, edges: DataFrame, max_hops: int, expands: DataFrame
     """
     rest = [k for k in key if k != "id"]
     seen = frontier = cut(seeds.select(*key).distinct().withColumn("depth", F.lit(0)))
-    links = edges.select("src", "dst").distinct()
+    # Materialised and distinct, else every hop would derive the edges anew; ``ready`` says that they are.
+    links = edges.select("src", "dst") if ready else edges.select("src", "dst").distinct()
+    links = cut(links) if max_hops > 1 and not ready else links
     for hop in range(1, max_hops + 1):
         if frontier.isEmpty():
             break
@@ -58,8 +60,8 @@ def slice_graph(seeds: DataFrame, nodes: DataFrame, edges: DataFrame, max_hops:
     e = edges if min_confidence is None else edges.where(F.col("confidence") >= min_confidence)
     if max_tier is not None or drop is not None:
         e = e.join(kept.select(F.col("id").alias("dst")), "dst", "left_semi")
-    e = cut(e.select("src", "dst"))
-    found = reach(seeds, e, max_hops, hubs(e, hub_threshold) if hub_threshold is not None else None)
+    e = cut(e.select("src", "dst").distinct())
+    found = reach(seeds, e, max_hops, hubs(e, hub_threshold) if hub_threshold is not None else None, ready=True)
     return found.join(kept.select("id", "tier"), "id", "left")
 
 
@@ -67,6 +69,33 @@ def reverse(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
 
 
+def on_paths_to(seeds: DataFrame, targets: DataFrame, edges: DataFrame, max_hops: int) -> DataFrame:
+    """``edges`` (src, dst) of a slice from ``seeds`` that lie on a way to a target: both ends forward and backward reached."""
+    e = cut(edges.select("src", "dst").distinct())
+    ahead = reach(seeds, e, max_hops, ready=True).select("id")
+    back = reach(targets, reverse(e), max_hops, ready=True).select("id")
+    both = cut(ahead.join(back, "id", "left_semi"))
+    return e.join(both.withColumnRenamed("id", "src"), "src", "left_semi").join(both.withColumnRenamed("id", "dst"), "dst", "left_semi")
+
+
+def grow(ranked: DataFrame, edges: DataFrame, seed: str, picks: int) -> DataFrame:
+    """(step, id): from ``seed`` on, the neighbour of what is chosen with the largest centrality, one after the other.
+
+    Where no neighbour is left, the best node outside begins anew. Inherently sequential: ``picks`` is the feature, and a
+    step asks for one row. The chosen ids, ``picks`` at most, are literals of the next step's filters.
+    """
+    both = cut(edges.select("src", "dst").union(edges.select("dst", "src")).distinct())
+    rank = cut(ranked.select("id", "centrality"))
+    chosen = [seed]
+    for _ in range(picks - 1):
+        near = both.where(F.col("src").isin(chosen) & ~F.col("dst").isin(chosen)).select(F.col("dst").alias("id")).distinct().join(rank, "id")
+        best = near.orderBy(F.desc("centrality"), "id").first() or rank.where(~F.col("id").isin(chosen)).orderBy(F.desc("centrality"), "id").first()
+        if best is None:
+            break
+        chosen.append(best["id"])
+    return ranked.sparkSession.createDataFrame(list(enumerate(chosen, 1)), "step int, id string")
+
+
 def unreachable(nodes: DataFrame, roots: DataFrame, edges: DataFrame, max_hops: int = 50) -> DataFrame:
     """``nodes`` that no root reaches."""
     return nodes.join(reach(roots, edges, max_hops).select("id"), "id", "left_anti")

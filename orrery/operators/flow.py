@@ -31,6 +31,16 @@ def propagate(sources: DataFrame, edges: DataFrame, sanitizers: DataFrame, max_h
     return fixpoint(start, step, max_hops + 2).select("id", "label", "sanitized").distinct()
 
 
+def walk_verdicts(flows: DataFrame, walks: DataFrame) -> DataFrame:
+    """``flows`` (flow, ...) with `verdict`: true where a walk confirms it, false where all refute it, null where none was complete.
+
+    walks: flow, confirmed (null: unknown), complete. One incomplete walk forfeits a refutation; only refuted flows go.
+    """
+    g = walks.groupBy("flow").agg(F.bool_or(F.coalesce("confirmed", F.lit(False))).alias("some"), F.bool_and(F.col("complete") & F.col("confirmed").isNotNull()).alias("all_known"))
+    verdict = F.when(F.col("some"), True).when(F.col("all_known"), False)
+    return flows.join(g, "flow", "left").withColumn("verdict", verdict).where(F.coalesce("verdict", F.lit(True))).drop("some", "all_known")
+
+
 def situations(flows: DataFrame) -> DataFrame:
     """Structural flows of one (label, source, zone, sanitized, boundary) as one row with the set of their primitives; others pass."""
     keys = ["label", "source", "zone", "sanitized", "boundary"]

@@ -127,11 +127,12 @@ def choose_overload(calls: DataFrame, candidates: DataFrame, admits: Column) ->
     calls: call, name, n_args; candidates: id, name, tier, required, maximum, path, line. One candidate is sure, n give
     1 / sqrt(n); none gives no choice and 0.
     """
-    j = calls.join(candidates, "name", "left").withColumn("fits", F.col("id").isNotNull() & admits)
-    # The first tier is a minimum; counting and choosing in it needs a second aggregate over one row per call and tier.
-    per_tier = j.where("fits").groupBy("call", "tier").agg(F.min_by("id", F.struct("path", "line", "id")).alias("chosen"), F.count("*").alias("n"))
-    first = per_tier.groupBy("call").agg(F.min_by(F.struct("chosen", "n"), "tier").alias("x"))
-    out = calls.select("call").join(first, "call", "left")
+    # Calls of one name and count have one answer: they are asked once, however many there are.
+    asked = calls.select("name", "n_args").distinct()
+    fits = asked.join(candidates, "name").where(admits)
+    per_tier = fits.groupBy("name", "n_args", "tier").agg(F.min_by("id", F.struct("path", "line", "id")).alias("chosen"), F.count("*").alias("n"))
+    first = per_tier.groupBy("name", "n_args").agg(F.min_by(F.struct("chosen", "n"), "tier").alias("x")).toDF("fname", "fargs", "x")
+    out = calls.join(first, (F.col("name") == F.col("fname")) & F.col("n_args").eqNullSafe(F.col("fargs")), "left")
     return out.select("call", F.col("x.chosen").alias("chosen"), F.coalesce(F.round(1 / F.sqrt("x.n"), 6), F.lit(0.0)).alias("confidence"), F.coalesce(F.col("x.n") > 1, F.lit(False)).alias("ambiguous"))
 
 
@@ -172,3 +173,30 @@ def precedence(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """The first row of each key by ``order``: catalogues overlaid by tier."""
     rest = [c for c in rows.columns if c not in key]
     return rows.groupBy(*key).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("x")).select(*key, "x.*")
+
+
+def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
+    """(id, module, path): each dotted import at its longest prefix that is a file; beside the importer where none is.
+
+    imports: id, folder, module; files: path. Prefixes are exploded and joined by equality.
+    """
+    dotted = F.split("module", r"\.")
+    prefixes = F.transform(F.sequence(F.lit(1), F.size(dotted)), lambda k: F.concat(F.array_join(F.slice(dotted, 1, k), "/"), F.lit(".py")))
+    whole = imports.select("id", "folder", "module", F.posexplode(prefixes).alias("k", "path"))
+    near = whole.select("id", "folder", "module", (F.col("k") - 1000).alias("k"), F.concat_ws("/", "folder", "path").alias("path"))
+    return whole.unionByName(near).join(files.select("path").distinct(), "path").groupBy("id", "module").agg(F.max_by("path", "k").alias("path"))
+
+
+def dispatch(closure: DataFrame, members: DataFrame, rules: DataFrame) -> DataFrame:
+    """(src, dst, framework): classes to the methods that a framework calls on them.
+
+    closure: class, base (all ancestors); members: class, name, method; rules: framework, base, method_name, a fixed table.
+    """
+    bound = closure.join(F.broadcast(rules), "base").select("class", "framework", F.col("method_name").alias("name")).distinct()
+    return bound.join(members, ["class", "name"]).select(F.col("class").alias("src"), F.col("method").alias("dst"), "framework")
+
+
+def probe_paths(views: DataFrame, patterns: list[str], files: DataFrame) -> DataFrame:
+    """(view, path): the first convention path, of ``patterns`` with {name}, that is a file."""
+    tries = F.array(*[F.replace(F.lit(p), F.lit("{name}"), F.col("name")) for p in patterns])
+    return views.select("view", F.posexplode(tries).alias("k", "path")).join(files.select("path").distinct(), "path").groupBy("view").agg(F.min_by("path", "k").alias("path"))

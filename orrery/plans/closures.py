@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from orrery.operators import closure, filters
+from orrery.operators import closure, filters, joins
 from orrery.sources.tables import edges, load, nodes
 
 from .register import query, with_
@@ -36,7 +36,7 @@ def dependent_files(spark, d):
     return found.join(n.select("id", "path"), "id").select("path").distinct()
 
 
-@query("import_dependents", "G2", "J20", sql=NE + _walk("SELECT id, 0 FROM nodes WHERE id IN ('order:5', 'customer:7')", 50, "SELECT DISTINCT dst AS src, src AS dst FROM edges") + "SELECT id, depth FROM r")
+@query("import_dependents", "G2", sql=NE + _walk("SELECT id, 0 FROM nodes WHERE id IN ('order:5', 'customer:7')", 50, "SELECT DISTINCT dst AS src, src AS dst FROM edges") + "SELECT id, depth FROM r")
 def import_dependents(spark, d):
     return closure.reach(nodes(spark, d).where("id in ('order:5', 'customer:7')"), closure.reverse(edges(spark, d)), 50)
 
@@ -48,14 +48,14 @@ def dead_code(spark, d):
     return closure.unreachable(n, roots, edges(spark, d, "calls", "references"), 5).groupBy("kind").agg(F.count("*").alias("n"))
 
 
-@query("transitive_coverage", "G7", "F23", sql=NE + _walk("SELECT id, 0 FROM nodes WHERE id LIKE 'customer:%' AND path LIKE 'customer/3/%'", 4, "SELECT DISTINCT src, dst FROM edges WHERE type IN ('calls', 'dispatches_to', 'references')") + "SELECT n.language, count(*) AS covered FROM r JOIN nodes n ON n.id = r.id WHERE depth > 0 GROUP BY 1")
+@query("transitive_coverage", "G7", sql=NE + _walk("SELECT id, 0 FROM nodes WHERE id LIKE 'customer:%' AND path LIKE 'customer/3/%'", 4, "SELECT DISTINCT src, dst FROM edges WHERE type IN ('calls', 'dispatches_to', 'references')") + "SELECT n.language, count(*) AS covered FROM r JOIN nodes n ON n.id = r.id WHERE depth > 0 GROUP BY 1")
 def transitive_coverage(spark, d):
     n = nodes(spark, d)
     found = closure.reach(n.where("id like 'customer:%' and path like 'customer/3/%'"), edges(spark, d, "calls", "dispatches_to", "references"), 4).where("depth > 0")
     return found.join(n.select("id", "language"), "id").groupBy("language").agg(F.count("*").alias("covered"))
 
 
-@query("handler_slices", "G20", "G5", sql=NE + """
+@query("handler_slices", "G20", sql=NE + """
 , links AS (SELECT DISTINCT src, dst FROM edges WHERE type IN ('contains', 'calls')), w(root, id, depth) AS (SELECT id, id, 0 FROM nodes WHERE id LIKE 'nation:%' UNION SELECT root, dst, depth + 1 FROM w JOIN links ON src = w.id WHERE depth < 2)
 SELECT root, count(DISTINCT id) AS size, max(depth)::INT AS deepest FROM w GROUP BY root""")
 def handler_slices(spark, d):
@@ -71,7 +71,7 @@ def connected_components(spark, d):
     return closure.components(e.select(F.col("src").alias("a"), F.col("dst").alias("b")))
 
 
-@query("component_sizes", "G10", "G8", sql="""
+@query("component_sizes", "G10", sql="""
 WITH RECURSIVE l AS (SELECT DISTINCT o_custkey % 300 AS a, 1000 + o_orderkey % 200 AS b FROM orders WHERE o_orderkey % 11 = 0 AND o_totalprice > 250000), both_ AS (SELECT a, b FROM l UNION SELECT b, a FROM l), w(id, c) AS (SELECT a, a FROM both_ UNION SELECT b, c FROM w JOIN both_ ON a = w.id), m AS (SELECT id, min(c) AS component FROM w GROUP BY id)
 SELECT component, count(*) AS size FROM m GROUP BY 1""")
 def component_sizes(spark, d):
@@ -79,7 +79,7 @@ def component_sizes(spark, d):
     return closure.components(o.select((F.col("o_custkey") % 300).alias("a"), (1000 + F.col("o_orderkey") % 200).alias("b"))).groupBy("component").agg(F.count("*").alias("size"))
 
 
-@query("owner_ancestors", "J17", "J18", "J28", sql="""
+@query("owner_ancestors", "J17", "J18", sql="""
 WITH RECURSIVE b AS (SELECT p_partkey AS child, p_partkey // 3 AS base FROM part WHERE p_partkey > 0), w(root, id, depth) AS (SELECT p_partkey, p_partkey, 0 FROM part WHERE p_size = 7 UNION SELECT root, base, depth + 1 FROM w JOIN b ON child = id WHERE depth < 10)
 SELECT root, list(id ORDER BY depth) AS ancestors FROM (SELECT root, id, min(depth) AS depth FROM w WHERE depth > 0 GROUP BY ALL) GROUP BY root""")
 def owner_ancestors(spark, d):
@@ -97,3 +97,47 @@ def anchored_reach(spark, d):
     s = n.where("id like 'supplier:%'").select(F.col("id").alias("dst"), "line")
     derived = c.join(s, "line").select("src", "dst")
     return closure.reach(n.where("id = 'region:2'"), edges(spark, d, "contains").select("src", "dst").union(derived), 3)
+
+
+@query("boundary_slice", "G5", sql=NE + _walk("SELECT 'region:0', 0", 4, "SELECT DISTINCT src, dst FROM edges") + """
+, b(id, depth) AS (SELECT id, 0 FROM nodes WHERE id LIKE 'order:%' AND line = 17 UNION SELECT src, depth + 1 FROM b JOIN links ON dst = b.id WHERE depth < 4), x AS (SELECT id FROM r WHERE id IN (SELECT id FROM b))
+SELECT src, dst FROM links WHERE src IN (FROM x) AND dst IN (FROM x)""")
+def boundary_slice(spark, d):
+    n = nodes(spark, d)
+    return closure.on_paths_to(n.where("id = 'region:0'"), n.where("id like 'order:%' and line = 17"), edges(spark, d), 4)
+
+
+def _grown(k: int) -> str:
+    return f", c{k} AS (SELECT * FROM c{k - 1} UNION ALL (SELECT {k}, id FROM ranked WHERE id IN (SELECT dst FROM both_ WHERE src IN (SELECT id FROM c{k - 1})) AND id NOT IN (SELECT id FROM c{k - 1}) ORDER BY centrality DESC, id LIMIT 1))"
+
+
+@query("connectivity_selection", "G8", sql=NE + """
+, i AS (SELECT dst AS id, count(*) AS n FROM edges GROUP BY 1), o AS (SELECT src AS id, count(*) AS n FROM edges GROUP BY 1), ranked AS (SELECT nodes.id, 2 * coalesce(i.n, 0) + coalesce(o.n, 0) AS centrality FROM nodes LEFT JOIN i USING (id) LEFT JOIN o USING (id)),
+both_ AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges), c1 AS (SELECT 1 AS step, 'region:3' AS id)""" + "".join(map(_grown, range(2, 7))) + " SELECT step::INT AS step, id FROM c6")
+def connectivity_selection(spark, d):
+    from orrery.operators.ranking import centrality
+
+    e = edges(spark, d)
+    return closure.grow(centrality(nodes(spark, d), e), e, "region:3", 6)
+
+
+@query("slow_deselection", "F23", sql=NE + _walk("SELECT 'customer:7', 0", 3, "SELECT DISTINCT src, dst FROM edges") + "SELECT s_suppkey FROM supplier WHERE s_acctbal > 5000 AND concat('supplier:', s_suppkey) NOT IN (SELECT id FROM r)")
+def slow_deselection(spark, d):
+    found = closure.reach(nodes(spark, d).where("id = 'customer:7'"), edges(spark, d), 3).select("id")
+    slow = load(spark, d, "supplier").where("s_acctbal > 5000").withColumn("id", F.concat(F.lit("supplier:"), "s_suppkey"))
+    return slow.join(found, "id", "left_anti").select("s_suppkey")
+
+
+@query("framework_dispatch", "J28", "J17", sql="""
+WITH RECURSIVE b AS (SELECT p_partkey AS child, p_partkey // 3 AS base FROM part WHERE p_partkey > 0), w(class, id, depth) AS (SELECT p_partkey, p_partkey, 0 FROM part WHERE p_size < 9 UNION SELECT class, base, depth + 1 FROM w JOIN b ON child = id WHERE depth < 10),
+c AS (SELECT DISTINCT class, id AS base FROM w WHERE depth > 0), rules AS (SELECT unnest(['operators', 'operators', 'hooks']) AS framework, unnest([2, 2, 5]) AS base, unnest(['SMALL', 'PROMO', 'LARGE']) AS name)
+SELECT DISTINCT c.class AS src, p_partkey AS dst, framework FROM c JOIN rules USING (base) JOIN part ON p_type = name AND p_partkey % 50 = c.class % 50""")
+def framework_dispatch(spark, d):
+    p = load(spark, d, "part")
+    bases = p.where("p_partkey > 0").select(F.col("p_partkey").alias("src"), F.floor(F.col("p_partkey") / 3).alias("dst"))
+    seeds = p.where("p_size < 9").select(F.col("p_partkey").alias("id"), F.col("p_partkey").alias("class"))
+    up = closure.reach(seeds, bases, 10, key=("id", "class")).where("depth > 0").select("class", F.col("id").alias("base"))
+    own = p.select("p_partkey", "p_type", (F.col("p_partkey") % 50).alias("k"))
+    members = p.where("p_size < 9").select(F.col("p_partkey").alias("class"), (F.col("p_partkey") % 50).alias("k")).join(own, "k").select("class", F.col("p_type").alias("name"), F.col("p_partkey").alias("method"))
+    rules = spark.createDataFrame([("operators", 2, "SMALL"), ("operators", 2, "PROMO"), ("hooks", 5, "LARGE")], "framework string, base long, method_name string")
+    return joins.dispatch(up, members, rules)

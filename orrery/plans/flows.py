@@ -12,7 +12,7 @@ from .register import query, with_
 NE, E = with_("nodes", "edges"), with_("edges")
 
 
-@query("taint_propagation", "G15", "G16", sql=NE + """
+@query("taint_propagation", "G15", sql=NE + """
 , links AS (SELECT DISTINCT src, dst FROM edges WHERE type IN ('contains', 'calls', 'dispatches_to')), san AS (SELECT id, 'secret' AS label FROM nodes WHERE id LIKE 'customer:%' AND line % 2 = 0), st AS (SELECT id FROM nodes WHERE kind = 'method' AND line % 3 = 0),
 w(id, label, sanitized, depth) AS (SELECT id, label, false, 0 FROM (SELECT id, unnest(['secret', 'input']) AS label FROM nodes WHERE id LIKE 'nation:%' AND line < 4)
   UNION SELECT dst, w.label, w.sanitized OR EXISTS (SELECT 1 FROM san WHERE san.id = dst AND san.label = w.label), depth + 1 FROM w JOIN links ON src = w.id WHERE depth < 3 AND w.id NOT IN (SELECT id FROM st))
@@ -24,7 +24,7 @@ def taint_propagation(spark, d):
     return flow.propagate(sources, edges(spark, d, "contains", "calls", "dispatches_to"), clean, 3, n.where("kind = 'method' and line % 3 = 0").select("id"))
 
 
-@query("taint_situations", "A21", "A13", sql="""
+@query("taint_situations", "A21", sql="""
 WITH f AS (SELECT o_orderpriority AS label, concat('s', o_custkey % 20) AS source, o_orderstatus AS zone, o_orderkey % 2 = 0 AS sanitized, concat('b', o_custkey % 3) AS boundary, concat('p', o_orderkey % 9) AS primitive, o_orderkey % 50 = 0 AS ddg FROM orders)
 SELECT label, source, zone, sanitized, boundary, list_sort(list(DISTINCT primitive)) AS primitives FROM f WHERE NOT ddg GROUP BY ALL UNION ALL SELECT label, source, zone, sanitized, boundary, [primitive] FROM f WHERE ddg""")
 def taint_situations(spark, d):
@@ -43,7 +43,7 @@ def _blocks(spark, d):
     return load(spark, d, "orders").select(F.col("o_custkey").alias("fn"), n.alias("block"), F.col("o_orderstatus").alias("var"), F.col("o_orderpriority").alias("prio"))
 
 
-@query("reaching_definitions", "G14", "E5", sql=f"""
+@query("reaching_definitions", "G14", sql=f"""
 WITH RECURSIVE b AS ({_BLOCKS}), flow AS (SELECT fn, block AS src, block + 1 AS dst FROM b UNION SELECT fn, block, block - 2 FROM b WHERE block % 4 = 0), w(fn, var, def_block, place) AS (
   SELECT b.fn, var, block, dst FROM b JOIN flow f ON f.fn = b.fn AND f.src = block UNION SELECT w.fn, w.var, def_block, dst FROM w JOIN flow f ON f.fn = w.fn AND f.src = w.place WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.fn = w.fn AND b.var = w.var AND b.block = w.place))
 SELECT DISTINCT w.fn, w.var, def_block, place AS use_block FROM w JOIN b ON b.fn = w.fn AND b.block = w.place AND b.prio < '3' AND w.var = (CASE b.block % 3 WHEN 0 THEN 'F' WHEN 1 THEN 'O' ELSE 'P' END)""")
@@ -90,3 +90,25 @@ def ready_items(spark, d):
     o = load(spark, d, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_orderstatus") == "F").alias("resolved"))
     before = o.select("id", F.floor(F.col("id") / 2).alias("waits_for")).where("id <> waits_for")
     return flow.ready(o, before)
+
+
+_W = "SELECT o_custkey AS flow, CASE o_orderstatus WHEN 'F' THEN false WHEN 'O' THEN NULL ELSE o_orderkey % 5 = 0 END AS confirmed, o_orderkey % 9 > 0 AS complete FROM orders"
+
+
+@query("walk_verdicts", "G16", "A13", sql=f"""
+WITH w AS ({_W}), g AS (SELECT flow, bool_or(coalesce(confirmed, false)) AS sure, bool_and(complete AND confirmed IS NOT NULL) AS known FROM w GROUP BY 1), v AS (SELECT c_custkey AS flow, CASE WHEN sure THEN true WHEN known THEN false END AS verdict FROM customer LEFT JOIN g ON flow = c_custkey)
+SELECT coalesce(verdict::VARCHAR, 'unrecorded') AS bucket, count(*) AS n FROM v WHERE coalesce(verdict, true) GROUP BY 1""")
+def walk_verdicts(spark, d):
+    k = F.col("o_orderkey")
+    w = load(spark, d, "orders").select(F.col("o_custkey").alias("flow"), F.expr("case o_orderstatus when 'F' then false when 'O' then null else o_orderkey % 5 = 0 end").alias("confirmed"), (k % 9 > 0).alias("complete"))
+    out = flow.walk_verdicts(load(spark, d, "customer").select(F.col("c_custkey").alias("flow")), w)
+    return out.groupBy(F.coalesce(F.col("verdict").cast("string"), F.lit("unrecorded")).alias("bucket")).agg(F.count("*").alias("n"))
+
+
+@query("definitions_and_uses", "E5", sql="""
+SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN [lower(p_type), 'b'] ELSE [] END AS defines, CASE WHEN p_size % 2 = 0 THEN ['f', 'c'] ELSE ['print', lower(p_type)] END AS uses FROM part""")
+def definitions_and_uses(spark, d):
+    from orrery.functions.text import definitions_and_uses as extract
+
+    line = F.when(F.col("p_size") % 2 == 0, F.concat(F.lower("p_type"), F.lit(", b = f(c) + c"))).otherwise(F.concat(F.lit("print("), F.lower("p_type"), F.lit(")")))
+    return load(spark, d, "part").select("p_partkey", extract(line).alias("x")).select("p_partkey", "x.*")

@@ -115,7 +115,7 @@ def tag_usage(spark, d):
     return g.withColumn("status", names.tag_status(F.col("uses"), F.col("tag") == "tag3"))
 
 
-@query("pass_statistics", "A22", "A14", sql="""
+@query("pass_statistics", "A22", sql="""
 SELECT l_returnflag AS pass, count(*) AS runs, round(sum(l_extendedprice), 2) AS total_ms, round(sum(l_extendedprice) FILTER (l_linestatus = 'F'), 2) AS silent_ms,
        count(*) FILTER (l_linestatus = 'F') AS f, count(*) FILTER (l_linestatus = 'O') AS o FROM lineitem GROUP BY 1""")
 def pass_statistics(spark, d):
@@ -271,3 +271,11 @@ def entrypoints_and_features(spark, d):
     o = edges(spark, d, "contains").groupBy("src").agg(F.sort_array(F.collect_list("dst")).alias("ids"))
     j = o.join(nodes(spark, d).select(F.col("id").alias("src"), "kind"), "src")
     return j.select(F.col("src").alias("symbol_id"), "kind", F.slice("ids", 1, cap).alias("node_ids"), F.size("ids").cast("long").alias("node_ids_total"), cap.cast("int").alias("cap"))
+
+
+@query("dataflow_scope", "A14", sql="""
+SELECT p_brand AS language, count(*) FILTER (p_type = 'SMALL') AS sources, count(*) FILTER (p_type = 'LARGE') AS sinks, count(*) FILTER (p_type = 'PROMO') AS sanitizers, count(*) FILTER (p_type = 'SMALL') > 0 AND count(*) FILTER (p_type = 'LARGE') > 0 AS traced FROM part GROUP BY 1""")
+def dataflow_scope(spark, d):
+    kinds = {"SMALL": "sources", "LARGE": "sinks", "PROMO": "sanitizers"}
+    g = load(spark, d, "part").groupBy(F.col("p_brand").alias("language")).pivot("p_type", list(kinds)).count().fillna(0)
+    return g.withColumnsRenamed(kinds).withColumn("traced", (F.col("sources") > 0) & (F.col("sinks") > 0))

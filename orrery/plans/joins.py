@@ -155,7 +155,7 @@ def changed_file_nodes(spark, d):
     return joins.suffix_matches(load(spark, d, "nation").select(changed.alias("changed")).distinct(), nodes(spark, d).select("path").distinct())
 
 
-@query("fallback_hints", "J21", "J19", "J32", sql="""
+@query("fallback_hints", "J21", sql="""
 SELECT s_suppkey AS id, CASE WHEN s_nationkey % 2 = 0 THEN concat('m', s_nationkey) WHEN s_suppkey % 4 = 0 THEN concat('m', s_suppkey % 4) WHEN s_suppkey % 4 = 2 THEN 'm2' END AS key FROM supplier WHERE s_nationkey % 2 = 0 OR s_suppkey % 4 IN (0, 2)""")
 def fallback_hints(spark, d):
     s = load(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.array(F.concat(F.lit("m"), "s_nationkey"), F.concat(F.lit("m"), F.col("s_suppkey") % 4)).alias("hint"))
@@ -184,3 +184,30 @@ def external_bases(spark, d):
     c = load(spark, d, "customer").withColumn("base", (F.col("c_custkey") % 40).cast("int"))
     out = c.join(load(spark, d, "nation"), F.col("base") == F.col("n_nationkey"), "left_anti")
     return out.select("c_custkey", F.concat(F.lit("py:external:0-0:base"), "base", F.lit(":unresolved")).alias("dst"))
+
+
+@query("import_resolution", "J20", sql="""
+WITH f AS (SELECT DISTINCT concat('pkg', n_regionkey, '/m', n_nationkey, '.py') AS path FROM nation UNION SELECT concat('pkg', r_regionkey, '.py') FROM region), i AS (SELECT s_suppkey AS id, concat('pkg', s_suppkey % 9) AS folder, CASE WHEN s_suppkey % 4 = 0 THEN concat('m', s_nationkey, '.x') ELSE concat('pkg', s_suppkey % 7, '.m', s_nationkey, '.Thing') END AS module FROM supplier),
+c AS (SELECT id, module, folder, string_split(module, '.') AS p FROM i), x AS (SELECT id, module, k, array_to_string(p[1:k], '/') || '.py' AS path, folder FROM c, range(1, 4) t(k) WHERE k <= len(p)), y AS (SELECT id, module, k, path FROM x UNION ALL SELECT id, module, k - 1000, folder || '/' || path FROM x)
+SELECT id, module, arg_max(path, k) AS path FROM y WHERE path IN (FROM f) GROUP BY 1, 2""")
+def import_resolution(spark, d):
+    n = load(spark, d, "nation").select(F.concat(F.lit("pkg"), "n_regionkey", F.lit("/m"), "n_nationkey", F.lit(".py")).alias("path"))
+    files = n.union(load(spark, d, "region").select(F.concat(F.lit("pkg"), "r_regionkey", F.lit(".py"))))
+    k = F.col("s_suppkey")
+    module = F.when(k % 4 == 0, F.concat(F.lit("m"), "s_nationkey", F.lit(".x"))).otherwise(F.concat(F.lit("pkg"), k % 7, F.lit(".m"), "s_nationkey", F.lit(".Thing")))
+    return joins.resolve_imports(load(spark, d, "supplier").select(k.alias("id"), F.concat(F.lit("pkg"), k % 9).alias("folder"), module.alias("module")), files)
+
+
+@query("view_templates", "J19", sql="""
+SELECT n_nationkey AS view, CASE WHEN n_nationkey % 3 = 0 THEN concat('templates/', lower(n_name), '/index.html') WHEN n_nationkey % 3 = 1 THEN concat(lower(n_name), '.html') END AS path FROM nation WHERE n_nationkey % 3 < 2""")
+def view_templates(spark, d):
+    n, k = load(spark, d, "nation").withColumn("name", F.lower("n_name")), F.col("n_nationkey")
+    files = n.where(k % 3 == 0).select(F.concat(F.lit("templates/"), "name", F.lit("/index.html")).alias("path")).union(n.where(k % 3 < 2).select(F.concat("name", F.lit(".html"))))
+    return joins.probe_paths(n.select(k.alias("view"), "name"), ["templates/{name}/index.html", "views/{name}.html", "{name}.html"], files)
+
+
+@query("library_signatures", "S26", "S12", sql="SELECT p_partkey, CASE p_type WHEN 'SMALL' THEN 'io.Reader' WHEN 'LARGE' THEN 'net.Conn' END AS returned FROM part WHERE p_type IN ('SMALL', 'LARGE')")
+def library_signatures(spark, d):
+    rows = spark.createDataFrame([("SMALL", "io.Reader", 1), ("SMALL", "old.Reader", 2), ("LARGE", "net.Conn", 1)], "key string, returned string, origin int")
+    catalogue = joins.precedence(rows, ["key"], ["origin"])
+    return load(spark, d, "part").join(F.broadcast(catalogue), F.col("p_type") == F.col("key")).select("p_partkey", "returned")
