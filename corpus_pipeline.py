@@ -33,9 +33,10 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them, whole each time; sources share all words 5 : 2 : 1, three epochs at most."""
     plan = mixing.plan_mix(common.cut(mixing.sizes(docs)), whole_documents=True)
-    times = plan.groupBy("doc_id").agg(F.round(F.max("repeats")).cast("int").alias("__times"))
     # Documents without words have no size to weigh; they stay once.
-    kept = docs.join(times, "doc_id").withColumn("__times", F.when(mixing.word_count(F.col("text")) == 0, F.lit(1)).otherwise(F.col("__times")))
+    times = F.when(F.max("size") == 0, 1).otherwise(F.round(F.max("repeats"))).cast("int").alias("__times")
+    times = plan.groupBy(F.col("doc_id").alias("__id")).agg(times)
+    kept = docs.join(times, docs["doc_id"].eqNullSafe(times["__id"]))
     return kept.where("__times > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)
 
 
