@@ -13,6 +13,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Rows of ids up to which a frontier is broadcast: a few MB.
+BROADCAST_ROWS = 50_000
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` materialised in the shared folder, without lineage."""
     spark: SparkSession = df.sparkSession
@@ -33,12 +37,16 @@ def reach(seeds: DataFrame, edges: DataFrame, max_hops: int, expands: DataFrame
     # Materialised and distinct, else every hop would derive the edges anew; ``ready`` says that they are.
     links = edges.select("src", "dst") if ready else edges.select("src", "dst").distinct()
     links = cut(links) if max_hops > 1 and not ready else links
+    expands = cut(expands) if expands is not None else None
     for hop in range(1, max_hops + 1):
-        if frontier.isEmpty():
+        size = frontier.count()
+        if not size:
             break
-        goes = frontier
+        # A frontier whose size is known to be small goes to the edges, which then stay where they are.
+        goes = F.broadcast(frontier) if size <= BROADCAST_ROWS else frontier
         if expands is not None:
             goes = frontier.join(expands.where(F.col("from_depth") <= hop - 1), "id", "left_anti")
+            goes = F.broadcast(goes) if size <= BROADCAST_ROWS else goes
         step = goes.join(links, goes["id"] == links["src"]).select(F.col("dst").alias("id"), *rest).distinct()
         frontier = cut(step.join(seen, list(key), "left_anti").select(*key).withColumn("depth", F.lit(hop)))
         seen = seen.unionByName(frontier)
