@@ -42,8 +42,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
-        self.tokenizer.encode_special_tokens = True
         spec = json.loads(definition)
+        # An added token's content never comes apart into pre-tokens, so the cache is for texts without any.
+        self.added = [t["content"].encode() for t in spec.get("added_tokens") or [] if t["content"]]
         pre = spec.get("pre_tokenizer") or {}
         self.split = spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and spec["model"]["type"] == "BPE" and not spec["model"].get("dropout")
         self.kind = np.full(0x110000, 255, np.uint8)
@@ -104,13 +105,30 @@ class Encoder:
                 starts[rest[inside]] = True
         return np.flatnonzero(starts)
 
+    def _whole(self, texts: list[bytes]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
+
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, how many each text has) of consecutive texts."""
-        whole = data.tobytes().decode()
-        if not self.split:
-            texts = [data[a:b].tobytes().decode() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-            return np.array([x for y in ids for x in y], np.int32), np.array([len(x) for x in ids], np.int64)
+        raw = data.tobytes()
+        if self.split and not any(t in raw for t in self.added):
+            return self._cached(raw, data, offsets)
+        texts = [raw[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+        special = [i for i, t in enumerate(texts) if not self.split or any(x in t for x in self.added)]
+        ids: list = [None] * len(texts)
+        for i, found in zip(special, self._whole([texts[i] for i in special]), strict=True):
+            ids[i] = np.array(found, np.int32)
+        rest = [i for i, x in enumerate(ids) if x is None]
+        if rest:
+            own = b"".join(texts[i] for i in rest)
+            flat, per = self._cached(own, np.frombuffer(own, np.uint8), np.cumsum([0, *(len(texts[i]) for i in rest)]))
+            for i, found in zip(rest, np.split(flat, np.cumsum(per)[:-1]), strict=True):
+                ids[i] = found
+        return np.concatenate([np.zeros(0, np.int32), *ids]), np.array([len(x) for x in ids], np.int64)
+
+    def _cached(self, raw: bytes, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``encode`` of texts without added tokens, by pre-tokens."""
+        whole = raw.decode()
         points = np.frombuffer(whole.encode("utf-32-le"), np.uint32)
         n = len(points)
         if not n:

@@ -298,6 +298,30 @@ def test_encoder_is_that_of_the_library(tokenizer, texts):
         assert ids[a:b].tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids
 
 
+@given(st.lists(st.lists(st.sampled_from(["<|endoftext|>", "<|endoftext", "|>", " ", "\n", "it's", "é", "中", "12", ""]), max_size=6).map("".join), min_size=1, max_size=8))
+@settings(max_examples=150, deadline=None)
+def test_encoder_keeps_added_tokens(tokenizer, texts):
+    from tokenizers import Tokenizer
+
+    fresh = Tokenizer.from_file(tokenizer)
+    ids, per = tokens.encoder(open(tokenizer).read()).encode(*parts(texts))
+    ends = np.cumsum(per)
+    for t, a, b in zip(texts, ends - per, ends, strict=True):
+        assert ids[a:b].tolist() == fresh.encode(t, add_special_tokens=False).ids
+
+
+def test_added_tokens_in_token_files(spark, tokenizer):
+    from tokenizers import Tokenizer
+
+    fresh = Tokenizer.from_file(tokenizer)
+    texts = ["plain text", "one <|endoftext|> two", "<|endoftext|><|endoftext|>", "after"]
+    got = tokens.tokenize_documents(spark.createDataFrame(rows(*texts), DOCS), tokenizer).orderBy("doc_id").collect()
+    want = [[*fresh.encode(t, add_special_tokens=False).ids, tokens.END_ID] for t in texts]
+    assert 50256 in want[1] and [r.n_tokens for r in got] == [len(x) for x in want]
+    assert [r.ids_crc32 for r in got] == [zlib.crc32(np.array(x, "<u4").tobytes()) for x in want]
+    assert [r.start for r in got] == [0, *np.cumsum([len(x) for x in want])[:-1]]
+
+
 def test_token_files(spark, docs, odd, tokenizer):
     import pyarrow.parquet as pq
 
