@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -11,6 +9,8 @@ from pyspark.sql import functions as F
 
 from orrery.functions.text import cosine
 
+from .closure import cut
+
 
 def tag(items: DataFrame, probes: DataFrame, least: float) -> DataFrame:
     """(id, tags): the sorted names of the probes with cosine ``least`` or more. Probes are a fixed vocabulary, broadcast."""
@@ -19,27 +19,40 @@ def tag(items: DataFrame, probes: DataFrame, least: float) -> DataFrame:
     return j.groupBy("id").agg(F.sort_array(F.collect_set(hit)).alias("tags"))
 
 
-def duplicates(items: DataFrame, least: float, tables: int = 24, bits: int = 8, seed: int = 3) -> DataFrame:
-    """(a, b, cosine), a < b: near-equal vectors of (id, v), found by random hyperplanes and confirmed exactly.
+#: Vectors of a block, and rows of a block that are compared with another at once: 32 MB of cosines.
+BLOCK, STRIPE = 4_096, 1_024
+
+
+def duplicates(items: DataFrame, least: float, block: int = BLOCK) -> DataFrame:
+    """(a, b, cosine), a < b: every pair of near-equal vectors of (id, v).
 
     Equal vectors are one class: its smallest id stands for it, and other members pair with that id only, so that a large
-    group of copies gives as many rows as it has members. Distinct vectors meet in a bucket of any of ``tables`` tables of
-    ``bits`` signs; a pair at cosine c is missed with (1 - (1 - acos(c) / pi) ** bits) ** tables.
+    group of copies gives as many rows as it has members. Distinct vectors are compared all with all, in pairs of blocks of
+    about ``block`` vectors, by products of unit vectors. The work grows with the square of the distinct vectors.
     """
-    classes = items.groupBy("v").agg(F.min("id").alias("rep"))
+    classes = cut(items.groupBy("v").agg(F.min("id").alias("rep")))
     copies = items.join(classes, "v").where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("cosine"))
-
-    def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            x = np.array(pdf["v"].tolist(), float)
-            if not len(x):
-                continue
-            planes = np.random.default_rng(seed).standard_normal((x.shape[1], tables * bits))
-            signs = (x @ planes > 0).reshape(len(x), tables, bits) @ (1 << np.arange(bits))
-            yield pd.DataFrame({"rep": np.repeat(pdf["rep"].to_numpy(), tables), "k": (signs + (np.arange(tables) << bits)).ravel()})
-
-    keys = classes.select("rep", "v").mapInPandas(hashed, "rep long, k long")
-    pairs = keys.toDF("a", "k").join(keys.toDF("b", "k"), "k").where("a < b").select("a", "b").distinct()
-    va, vb = classes.select(F.col("rep").alias("a"), F.col("v").alias("va")), classes.select(F.col("rep").alias("b"), F.col("v").alias("vb"))
-    sure = pairs.join(va, "a").join(vb, "b").withColumn("cosine", cosine(F.col("va"), F.col("vb"))).where(F.col("cosine") >= least)
-    return sure.select("a", "b", F.round("cosine", 6).alias("cosine")).unionByName(copies)
+    n = -(-classes.count() // block) or 1
+    own = F.pmod(F.xxhash64("rep"), F.lit(n)).cast("int")
+    # Block i meets every block j: a vector goes to the pairs (min, max) of its own block and each other one.
+    met = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j")))
+    dealt = classes.select("rep", F.col("v").cast("array<double>").alias("v"), own.alias("own"), F.explode(met).alias("p")).select("rep", "v", "own", "p.i", "p.j")
+
+    def compare(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        x = np.array(pdf["v"].tolist(), float)
+        norm = np.linalg.norm(x, axis=1)
+        some = norm > 0
+        unit, ids, left = x[some] / norm[some, None], pdf["rep"].to_numpy()[some], pdf["own"].to_numpy()[some] == key[0]
+        u, ui = unit[left], ids[left]
+        w, wi = (u, ui) if key[0] == key[1] else (unit[~left], ids[~left])
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        for at in range(0, len(u), STRIPE):
+            products = u[at : at + STRIPE] @ w.T
+            r, c = np.nonzero(products >= least)
+            if key[0] == key[1]:
+                r, c = r[ui[at + r] < wi[c]], c[ui[at + r] < wi[c]]
+            found.append((np.minimum(ui[at + r], wi[c]), np.maximum(ui[at + r], wi[c]), products[r, c]))
+        return pd.DataFrame(dict(zip(("a", "b", "cosine"), map(np.concatenate, zip(*found, strict=True)), strict=True)))
+
+    pairs = dealt.groupBy("i", "j").applyInPandas(compare, "a long, b long, cosine double")
+    return pairs.select("a", "b", F.round("cosine", 6).alias("cosine")).unionByName(copies)
