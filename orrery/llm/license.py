@@ -4,7 +4,7 @@ A paragraph's features are hashed word unigrams and bigrams. A sparse multinomia
 variations of the built-in templates and on ordinary paragraphs, gives each family a score; the largest one counts only
 above a threshold that is calibrated on ordinary paragraphs which training hasn't seen: what lies below is *unknown*.
 What remains is compared with the family's templates, and a paragraph is confirmed if enough of a template's words stand
-in it in order.
+in it in order. Paragraphs lie between blank lines; their sentences, lines and runs of these are scored as well as the whole.
 
 Ordinary paragraphs come from at most NEGATIVE_ROWS documents, chosen by a hash of their ids; scanning covers every
 paragraph of every text.
@@ -29,6 +29,8 @@ ORDINARY = 4_000
 BUCKETS = 1 << 14
 #: Share of a template's words which a confirmed paragraph holds in order.
 CONFIRMED = 0.6
+#: Words from the begin of a run's first piece to that of its last: eight times the longest template.
+SPAN = 300
 #: Ordinary paragraphs that calibration lets pass.
 FALSE_RATE = 1e-3
 
@@ -192,14 +194,13 @@ def train(docs: DataFrame, rows: int = NEGATIVE_ROWS) -> Model:
 def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """SCHEMA: the paragraphs of ``docs`` (doc_id, text) that hold a licence, with byte ranges in the UTF-8 text.
 
-    A licence sentence inside a longer paragraph counts as well: windows of a paragraph's sentences are scored by
-    themselves. Null and empty texts give no rows; repeated rows give repeated rows; other columns are ignored.
+    Scored are each piece (a sentence, or what a line has of it), runs of adjacent pieces of a paragraph and whole
+    paragraphs. Of those that overlap and name one family, the one that holds most of a template is given, or else the
+    shortest; ``paragraph`` is the number of the line where it begins. Null and empty texts give no rows; repeated rows give repeated rows; other columns are ignored.
     """
     common.bounded_batches(common.session(docs))
     model = model or train(docs)
     weights, bias, threshold = model.weights.astype(np.float32), model.bias, model.threshold
-    sentence = np.zeros(256, bool)
-    sentence[[10, 13]] = True
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(weights, bias, threshold)
@@ -211,19 +212,25 @@ def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
                 if not len(begin):
                     continue
                 w = common.Words(data, np.r_[begin, len(data)], common.NOT_ALNUM)
-                s = own.scores(len(begin), *features(w))
-                top = s[:, 1:].argmax(1) + 1
                 lines, _ = paragraphs(data, offsets)
-                for x in np.flatnonzero(s[np.arange(len(s)), top] - s[:, 0] > threshold).tolist():
-                    words = w.hash[w.doc[x] : w.doc[x + 1]].tolist()
-                    shares = [(max(overlap(words, t) for t in templates[f]), float(s[x, f]), -f) for f in range(1, len(FAMILIES)) if s[x, f] - s[x, 0] > 0]
-                    share, _, f = max(shares)
-                    if share < CONFIRMED:
-                        continue
-                    z = np.exp(s[x] - s[x].max())
-                    t = int(np.searchsorted(offsets, begin[x], "right") - 1)
-                    line = int(np.searchsorted(lines, begin[x], "right") - np.searchsorted(lines, offsets[t], "left") - 1)
-                    found.append((batch.column(0)[i + t].as_py(), line, FAMILIES[-f], float(z[-f] / z.sum()), share, int(begin[x] - offsets[t]), int(end[x] - offsets[t])))
+                best = []
+                held = confirmed(own, templates, w)
+                first, last = runs(w, blocks(data, offsets, begin), templates)
+                if len(first):
+                    texts = [data[x:y] for x, y in zip(begin[first].tolist(), end[last].tolist(), strict=True)]
+                    wide = common.Words(np.concatenate(texts), np.cumsum([0, *map(len, texts)]), common.NOT_ALNUM)
+                    best = [(share, n, f, p, int(begin[first[x]]), int(end[last[x]])) for x, share, n, f, p in confirmed(own, templates, wide)]
+                best += [(share, n, f, p, int(begin[x]), int(end[x])) for x, share, n, f, p in held]
+                chosen: dict[int, list[tuple[int, int]]] = {}
+                rows = []
+                for share, _, f, p, x, y in sorted(best, key=lambda r: (-r[0], r[1], r[4])):
+                    if all(y <= a or x >= b for a, b in chosen.setdefault(f, [])):
+                        chosen[f].append((x, y))
+                        rows.append((x, y, f, p, share))
+                for x, y, f, p, share in sorted(rows):
+                    t = int(np.searchsorted(offsets, x, "right") - 1)
+                    line = int(np.searchsorted(lines, x, "right") - np.searchsorted(lines, offsets[t], "left") - 1)
+                    found.append((batch.column(0)[i + t].as_py(), line, FAMILIES[f], p, share, int(x - offsets[t]), int(y - offsets[t])))
             cols = list(zip(*found, strict=True)) if found else [[]] * 7
             kinds = (pa.int64(), pa.int32(), pa.string(), pa.float64(), pa.float64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "paragraph", "family", "probability", "overlap", "begin", "end"])
@@ -231,6 +238,75 @@ def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)
 
 
+def confirmed(model: Model, templates: list[list[list[int]]], w: common.Words) -> list[tuple[int, float, int, int, float]]:
+    """(text, overlap, words, family, probability) of the texts of ``w`` that hold a licence."""
+    s = model.scores(len(w.doc) - 1, *features(w))
+    top = s[:, 1:].argmax(1) + 1
+    out = []
+    for x in np.flatnonzero(s[np.arange(len(s)), top] - s[:, 0] > model.threshold).tolist():
+        words = w.hash[w.doc[x] : w.doc[x + 1]].tolist()
+        share, _, f = max((max(overlap(words, t) for t in templates[f]), float(s[x, f]), -f) for f in range(1, len(FAMILIES)) if s[x, f] - s[x, 0] > 0)
+        if share >= CONFIRMED:
+            z = np.exp(s[x] - s[x].max())
+            out.append((x, share, len(words), -f, float(z[-f] / z.sum())))
+    return out
+
+
+def blocks(data: np.ndarray, offsets: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """For each piece the number of its paragraph: blank lines and the texts' begins divide paragraphs."""
+    lines, ends = paragraphs(data, offsets)
+    ink = np.r_[0, np.cumsum(~_WHITE_AFTER[data])]
+    feed = (data[lines] == 10) & (lines > 0) & (data[lines - 1] == 13)  # the second half of a line's end
+    new = np.isin(lines, offsets[:-1]) | ((ink[ends] == ink[lines]) & ~feed)
+    return np.cumsum(new)[np.searchsorted(lines, begin, "right") - 1]
+
+
+def runs(w: common.Words, block: np.ndarray, templates: list[list[list[int]]]) -> tuple[np.ndarray, np.ndarray]:
+    """First and last piece of the runs of several pieces of a paragraph that may hold a template, and of such paragraphs.
+
+    No order can be kept of words that aren't there: only runs with CONFIRMED of a template's words, in any order, remain,
+    and of these, for each last piece and number of words, the shortest.
+    """
+    vocabulary = np.unique(np.array([x for f in templates for t in f for x in t], np.uint64))
+    k = np.minimum(np.searchsorted(vocabulary, w.hash), len(vocabulary) - 1)
+    hit = np.flatnonzero(vocabulary[k] == w.hash)
+    piece, k = np.searchsorted(w.doc, hit, "right") - 1, k[hit]
+    names, where = np.unique(block[piece], return_inverse=True)
+    counts = np.bincount(where * len(vocabulary) + k, minlength=len(names) * len(vocabulary)).reshape(len(names), len(vocabulary))
+    at = np.searchsorted(where, np.arange(len(names) + 1))
+    worded = np.flatnonzero(np.diff(w.doc))
+    out = set()
+    for template in (t for f in templates for t in f):
+        own = np.bincount(np.searchsorted(vocabulary, np.array(template, np.uint64)), minlength=len(vocabulary))
+        least = CONFIRMED * len(template)
+        for x in np.flatnonzero(np.minimum(counts, own).sum(1) >= least - 1e-9).tolist():
+            inside = slice(at[x], at[x + 1])
+            held: dict[int, list[int]] = {}
+            for p, word in zip(piece[inside].tolist(), k[inside].tolist(), strict=True):
+                if own[word]:
+                    held.setdefault(p, []).append(word)
+            if len(held) < 2:
+                continue
+            these = worded[block[worded] == names[x]]
+            out.add((int(these[0]), int(these[-1])))
+            places, shortest = list(held), {}
+            for n, i in enumerate(places):
+                left, size = own.copy(), 0
+                for j in places[n:]:
+                    if w.doc[j] - w.doc[i] > SPAN:
+                        break
+                    before = size
+                    for word in held[j]:
+                        if left[word]:
+                            left[word] -= 1
+                            size += 1
+                    if j > i and size > before and size >= least - 1e-9:
+                        shortest[j, size] = i
+            out.update((i, j) for (j, _), i in shortest.items())
+    both = np.array(sorted(out), np.int64).reshape(-1, 2)
+    return both[:, 0], both[:, 1]
+
+
 _WHITE_AFTER = np.zeros(256, bool)
 _WHITE_AFTER[[32, 9, 10, 13]] = True
 

@@ -415,6 +415,19 @@ def test_licences(spark, docs, odd):
     assert license.scan(odd, model).count() == 0 and license.scan(df.where("false"), model).count() == 0
 
 
+@pytest.mark.parametrize("end", ["\n", "\r\n", "\n# "])
+def test_licences_in_wrapped_paragraphs(spark, docs, end):
+    mit = ["Permission is hereby granted, free of charge, to any person obtaining a", "copy of this software and associated documentation files (the \"Software\"),", "to deal in the Software without restriction, including without limitation"]
+    bsd = ["Redistribution and use in source and binary forms, with or without", "modification, are permitted provided that the following conditions are met:"]
+    gpl = ["This program is free software: you can redistribute it and/or modify", "it under the terms of the GNU General Public License as published by", "the Free Software Foundation, either version 2 of the License, or", "(at your option) any later version."]
+    apart = "Words of another kind stand here."
+    texts = [f"{apart}\n\n{end.join(x)}\n \n{apart}" for x in (mit, bsd, gpl)] + [f"{apart}\n{bsd[0]}\n\n{bsd[1]}\n{apart}"]
+    got = license.scan(spark.createDataFrame(rows(*texts), DOCS), license.train(docs)).collect()
+    assert sorted((r.doc_id, r.family) for r in got) == [(0, "mit"), (1, "bsd"), (2, "gpl")]
+    for r, x in zip(sorted(got), (mit, bsd, gpl), strict=True):
+        assert texts[r.doc_id].encode()[r.begin : r.end].decode().startswith(x[0]) and r.paragraph == 2 and r.overlap > 0.9
+
+
 def test_licences_of_the_given_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     want = {(r.doc_id, f) for r in docs.collect() for f, p in (("apache-2.0", "Licensed under the Apache License, Version 2.0."), ("mit", "Released under the MIT License."), ("gpl", "licensed under the GNU General Public License, version 3."), ("cc-by-nc", "Licensed under CC BY-NC 4.0.")) if p in r.text}
