@@ -79,6 +79,26 @@ def component_sizes(spark, d):
     return closure.components(o.select((F.col("o_custkey") % 300).alias("a"), (1000 + F.col("o_orderkey") % 200).alias("b"))).groupBy("component").agg(F.count("*").alias("size"))
 
 
+#: Least labels spread along the edges; a node's label is replaced, so that rows stay as many as nodes.
+_LEAST = E + """
+, both_ AS (SELECT DISTINCT src AS a, dst AS b FROM edges UNION SELECT dst, src FROM edges), w(id, c) USING KEY (id) AS (SELECT DISTINCT a, a FROM both_ UNION SELECT b, min(w.c) FROM w JOIN both_ ON a = w.id JOIN recurring.w AS k ON k.id = b WHERE w.c < k.c GROUP BY b)
+"""
+
+
+def _whole_graph(spark, d):
+    return closure.components(edges(spark, d).select(F.col("src").alias("a"), F.col("dst").alias("b")))
+
+
+@query("graph_components", "G10", sql=_LEAST + "SELECT id, c AS component FROM w")
+def graph_components(spark, d):
+    return _whole_graph(spark, d)
+
+
+@query("graph_component_sizes", "G10", sql=_LEAST + "SELECT c AS component, count(*) AS size FROM w GROUP BY 1")
+def graph_component_sizes(spark, d):
+    return _whole_graph(spark, d).groupBy("component").agg(F.count("*").alias("size"))
+
+
 @query("owner_ancestors", "J17", "J18", sql="""
 WITH RECURSIVE b AS (SELECT p_partkey AS child, p_partkey // 3 AS base FROM part WHERE p_partkey > 0), w(root, id, depth) AS (SELECT p_partkey, p_partkey, 0 FROM part WHERE p_size = 7 UNION SELECT root, base, depth + 1 FROM w JOIN b ON child = id WHERE depth < 10)
 SELECT root, list(id ORDER BY depth) AS ancestors FROM (SELECT root, id, min(depth) AS depth FROM w WHERE depth > 0 GROUP BY ALL) GROUP BY root""")

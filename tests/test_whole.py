@@ -1,8 +1,11 @@
 """Operators over whole inputs, against brute force."""
 
 import numpy as np
+import pytest
 
 from orrery.operators import vectors
+from orrery.plans import registry
+from orrery.sources import tables
 
 
 def test_embedding_duplicates_are_all_found(spark):
@@ -22,3 +25,41 @@ def test_embedding_duplicates_are_all_found(spark):
         got = [(r.a, r.b) for r in vectors.duplicates(items, 0.85, block=block).collect()]
         assert len(got) == len(set(got)) and set(got) == want
     assert vectors.duplicates(items.where("false"), 0.85).count() == 0
+
+
+@pytest.fixture
+def small(monkeypatch):
+    """Puts a graph of the test's own in place of the encoded tables."""
+    from orrery.plans import closures
+
+    def put(edges, nodes=None):
+        monkeypatch.setattr(closures, "edges", lambda *_: edges)
+        if nodes is not None:
+            monkeypatch.setattr(closures, "nodes", lambda *_: nodes)
+
+    return put
+
+
+def _parts(links):
+    label = {x: x for e in links for x in e}
+    while any(label[a] != label[b] for a, b in links):
+        for a, b in links:
+            label[a] = label[b] = min(label[a], label[b])
+    return label
+
+
+def test_components_of_a_whole_graph(spark, small):
+    rng = np.random.default_rng(5)
+    links = [(f"n{i}", f"n{i + 1}") for i in range(40)] + [(f"r{a}", f"r{b}") for a, b in rng.integers(0, 90, (60, 2)) if a != b] + [("hub", f"h{i}") for i in range(50)]
+    small(spark.createDataFrame(links, "src string, dst string"))
+    want = _parts(links)
+    assert {r.id: r.component for r in registry.QUERIES["graph_components"](spark, "").collect()} == want
+    sizes = {r.component: r.size for r in registry.QUERIES["graph_component_sizes"](spark, "").collect()}
+    assert len(sizes) > 3 and sizes == {c: list(want.values()).count(c) for c in want.values()}
+
+
+def test_components_have_every_node_with_an_edge(spark):
+    d = "/root/testdata/sf0.001"
+    ends = {x for r in tables.edges(spark, d).select("src", "dst").collect() for x in r}
+    got = [r.id for r in registry.QUERIES["graph_components"](spark, d).collect()]
+    assert len(got) == len(set(got)) and set(got) == ends
