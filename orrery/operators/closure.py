@@ -77,6 +77,28 @@ def reverse(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
 
 
+#: Levels of a reverse file walk, that of the changed files among them.
+FILE_LEVELS = 10
+
+
+def dependent_files(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, key: tuple[str, ...] = ("id",)) -> DataFrame:
+    """``path`` and the columns of ``key`` besides id: the files of what reaches ``seeds`` (``key``), and their own."""
+    found = reach(seeds, reverse(edges), FILE_LEVELS - 1, key=key)
+    return found.join(nodes.where("path is not null").select("id", "path"), "id").select("path", *[k for k in key if k != "id"]).distinct()
+
+
+def extra_seeds(nodes: DataFrame, edges: DataFrame, own: DataFrame, differing: DataFrame, is_test: Column) -> DataFrame:
+    """(kind, path): differing files that are no ``own`` ones ('seed'), and test files that only those reach ('test').
+
+    ``own`` and ``differing`` have a column path. Both walks run in one loop.
+    """
+    extra = differing.select("path").distinct().join(own, "path", "left_anti")
+    seeds = own.select("path", F.lit(True).alias("own")).unionByName(extra.withColumn("own", F.lit(False)))
+    walked = dependent_files(nodes, edges, nodes.select("id", "path").join(seeds, "path").select("id", "own"), ("id", "own"))
+    tests = walked.where(is_test).groupBy("path").agg(F.max("own").alias("own")).where("not own")
+    return extra.select(F.lit("seed").alias("kind"), "path").unionByName(tests.select(F.lit("test").alias("kind"), "path"))
+
+
 def on_paths_to(seeds: DataFrame, targets: DataFrame, edges: DataFrame, max_hops: int) -> DataFrame:
     """``edges`` (src, dst) of a slice from ``seeds`` that lie on a way to a target: both ends forward and backward reached."""
     e = cut(edges.select("src", "dst").distinct())

@@ -28,7 +28,7 @@ def tier_slice(spark, d):
     return closure.slice_graph(n.where("id = 'region:1'"), n, edges(spark, d), 4, max_tier=2, drop=filters.is_test_path(F.col("path")), min_confidence=0.95)
 
 
-@query("dependent_files", "G1", "U5", sql=NE + _walk("SELECT id, 0 FROM nodes WHERE path = 'supplier/6/supplier_3.py' OR path LIKE 'brand_7/small%'", 1, "SELECT DISTINCT dst AS src, src AS dst FROM edges") + "SELECT DISTINCT path FROM r JOIN nodes n ON n.id = r.id")
+@query("dependent_files", "G1", sql=NE + _walk("SELECT id, 0 FROM nodes WHERE path = 'supplier/6/supplier_3.py' OR path LIKE 'brand_7/small%'", 1, "SELECT DISTINCT dst AS src, src AS dst FROM edges") + "SELECT DISTINCT path FROM r JOIN nodes n ON n.id = r.id")
 def dependent_files(spark, d):
     n = nodes(spark, d)
     seeds = n.where("path = 'supplier/6/supplier_3.py' or path like 'brand_7/small%'")
@@ -36,6 +36,27 @@ def dependent_files(spark, d):
     return found.join(n.select("id", "path"), "id").select("path").distinct()
 
 
+_CHANGED = "path = 'supplier/6/supplier_3.py' OR path LIKE 'brand_7/small%' OR path LIKE 'orders/F/1%'"
+_DIFFERING = "path = 'supplier/6/supplier_3.py' OR path LIKE '%/supplier_4.py' OR path LIKE 'orders/O/2%'"
+_BACK = "SELECT DISTINCT dst AS src, src AS dst FROM edges"
+
+
+@query("all_dependent_files", "G1", sql=NE + _walk(f"SELECT id, 0 FROM nodes WHERE {_CHANGED}", 9, _BACK) + "SELECT DISTINCT path FROM r JOIN nodes n ON n.id = r.id")
+def all_dependent_files(spark, d):
+    n = nodes(spark, d)
+    return closure.dependent_files(n, edges(spark, d), n.where(_CHANGED))
+
+
+@query("extra_seed_files", "U5", sql=NE + _walk(f"SELECT id, 0 FROM nodes WHERE {_CHANGED}", 9, _BACK) + f"""
+, a(id, depth) AS (SELECT id, 0 FROM nodes WHERE {_CHANGED} OR {_DIFFERING} UNION SELECT dst, depth + 1 FROM a JOIN links ON src = a.id WHERE depth < 9)
+SELECT DISTINCT 'seed' AS kind, path FROM nodes WHERE ({_DIFFERING}) AND NOT ({_CHANGED})
+UNION ALL SELECT DISTINCT 'test', path FROM nodes WHERE path LIKE 'tests/%' AND id IN (SELECT id FROM a) AND path NOT IN (SELECT path FROM nodes JOIN r USING (id))""")
+def extra_seed_files(spark, d):
+    n = nodes(spark, d)
+    files = lambda which: n.where(which).select("path").distinct()
+    return closure.extra_seeds(n, edges(spark, d), files(_CHANGED), files(_DIFFERING), filters.is_test_path(F.col("path")))
+
+
 @query("import_dependents", "G2", sql=NE + _walk("SELECT id, 0 FROM nodes WHERE id IN ('order:5', 'customer:7')", 50, "SELECT DISTINCT dst AS src, src AS dst FROM edges") + "SELECT id, depth FROM r")
 def import_dependents(spark, d):
     return closure.reach(nodes(spark, d).where("id in ('order:5', 'customer:7')"), closure.reverse(edges(spark, d)), 50)

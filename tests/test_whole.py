@@ -2,8 +2,9 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from orrery.operators import vectors
+from orrery.operators import closure, vectors
 from orrery.plans import registry
 from orrery.sources import tables
 
@@ -63,3 +64,19 @@ def test_components_have_every_node_with_an_edge(spark):
     ends = {x for r in tables.edges(spark, d).select("src", "dst").collect() for x in r}
     got = [r.id for r in registry.QUERIES["graph_components"](spark, d).collect()]
     assert len(got) == len(set(got)) and set(got) == ends
+
+
+def test_reverse_walk_has_ten_levels(spark):
+    nodes = spark.createDataFrame([(f"n{i}", f"f{i}.py") for i in range(14)] + [("t", "tests/test_t.py"), ("u", "tests/test_u.py"), ("x", None)], "id string, path string")
+    edges = spark.createDataFrame([(f"n{i + 1}", f"n{i}") for i in range(13)] + [("t", "n2"), ("u", "n13"), ("x", "n0")], "src string, dst string")
+    files = lambda *x: spark.createDataFrame([(f,) for f in x], "path string")
+    got = closure.dependent_files(nodes, edges, nodes.where("id = 'n0'"))
+    assert {r.path for r in got.collect()} == {f"f{i}.py" for i in range(10)} | {"tests/test_t.py"}
+    extra = closure.extra_seeds(nodes, edges, files("f0.py"), files("f0.py", "f1.py", "f12.py", "gone.py"), F.col("path").startswith("tests/"))
+    assert {tuple(r) for r in extra.collect()} == {("seed", "f1.py"), ("seed", "f12.py"), ("seed", "gone.py"), ("test", "tests/test_u.py")}
+
+
+def test_files_behind_an_order_are_found(spark):
+    got = {r.path for r in registry.QUERIES["all_dependent_files"](spark, "/root/testdata/sf0.001").collect()}
+    assert {"geo/regions.sql"} <= got and any(p.startswith("geo/") and p.endswith("nations.sql") for p in got) and any(p.startswith("customer/") for p in got)
+    assert "U5" not in registry.COVERS["dependent_files"] and registry.COVERS["extra_seed_files"] == ("U5",)
