@@ -6,6 +6,8 @@ vocabulary, whose document frequency is bounded by ``max_df``.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,6 +53,57 @@ def neighbours(vectors: DataFrame, k: int) -> DataFrame:
     return score.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+#: Documents of a block, and columns of terms that are multiplied at once.
+BLOCK, STRIP = 1_024, 4_096
+
+
+def neighbours_of_all(vectors: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
+    """``neighbours`` for any vocabulary: blocks of documents are multiplied, so that no term joins its documents.
+
+    The work grows with the square of the documents. ``vectors`` must be materialised.
+    """
+    ids = vectors.select("id").distinct()
+    n = -(-ids.count() // block) or 1
+    rows = vectors.groupBy("id").agg(F.collect_list(F.struct(F.xxhash64("term").alias("t"), F.col("w"))).alias("v"))
+    own = F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    met = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j")))
+    dealt = rows.select("id", F.col("v.t").alias("t"), F.col("v.w").alias("w"), own.alias("own"), F.explode(met).alias("p")).select("id", "t", "w", "own", "p.i", "p.j")
+
+    def compare(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("id")
+        first = (pdf["own"] == key[0]).to_numpy()
+        a, b = pdf[first], pdf if key[0] == key[1] else pdf[~first]
+        ta, tb = (np.concatenate([np.zeros(0, np.int64), *x["t"]]) for x in (a, b))
+        wa, wb = (np.concatenate([np.zeros(0), *x["w"]]) for x in (a, b))
+        ra, rb = (np.repeat(np.arange(len(x)), x["t"].map(len)) for x in (a, b))
+        terms = np.intersect1d(ta, tb)
+        products = np.zeros((len(a), len(b)))
+        for at in range(0, len(terms), STRIP):
+            strip = terms[at : at + STRIP]
+            sides = []
+            for t, w, r, size in ((ta, wa, ra, len(a)), (tb, wb, rb, len(b))):
+                c = np.minimum(np.searchsorted(strip, t), len(strip) - 1)
+                hit = strip[c] == t
+                sides.append(np.zeros((size, len(strip))))
+                sides[-1][r[hit], c[hit]] = w[hit]
+            products += sides[0] @ sides[1].T
+        ia, ib = a["id"].to_numpy(), b["id"].to_numpy()
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        for p, x, y in [(products, ia, ib)] + ([] if key[0] == key[1] else [(products.T, ib, ia)]):
+            p = np.round(p, 9)
+            p[x[:, None] == y] = 0
+            for r in range(len(x)):
+                least = np.partition(p[r], -k)[-k] if len(y) > k else 0
+                c = np.flatnonzero((p[r] >= least) & (p[r] > 0))
+                c = c[np.argsort(-p[r, c], kind="stable")[:k]]
+                found.append((np.full(len(c), x[r]), y[c], p[r, c]))
+        return pd.DataFrame(dict(zip(("id", "other", "cosine"), map(np.concatenate, zip(*found, strict=True)), strict=True)))
+
+    score = dealt.groupBy("i", "j").applyInPandas(compare, "id long, other long, cosine double")
+    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("cosine"), "other"))
+    return score.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
 def mutual_edges(neighbours_: DataFrame, shared: int) -> DataFrame:
     """(a, b), a < b: mutual neighbours that share at least ``shared`` of their neighbours."""
     sets = neighbours_.groupBy("id").agg(F.collect_set("other").alias("others"))  # at most k ids each

@@ -17,16 +17,28 @@ _L = _V + ", m AS (SELECT x.id AS a, x.other AS b FROM k x JOIN k y ON y.id = x.
 _P = _L + ", both_ AS (SELECT a, b FROM m UNION SELECT b, a FROM m), r(id, c) AS (SELECT a, a FROM both_ UNION SELECT b, c FROM r JOIN both_ ON a = r.id), parts AS (SELECT id, min(c) AS component FROM r GROUP BY id) "
 
 
-def _vectors(spark, d):
+#: The same with the operator's own bound on document frequency.
+_V8, _L8, _P8 = (s.replace("0.1 * n", "0.8 * n") for s in (_V, _L, _P))
+
+
+def _vectors(spark, d, max_df=0.1):
     docs = load(spark, d, "conversations").withColumn("id", F.col("conv_id") * 100 + F.col("turn"))
     counts = closure.cut(corpus.term_counts(docs, "id", text.tokens(F.col("text"))))
-    return closure.cut(corpus.tfidf(counts, corpus.idf(counts, docs.count(), 2, 0.1)))
+    return closure.cut(corpus.tfidf(counts, corpus.idf(counts, docs.count(), 2, max_df)))
 
 
 def _parts(near):
     return closure.components(corpus.mutual_edges(near, 3))
 
 
+def _scores(v, parts):
+    # The mean over all pairs of a cluster from its sums: (|sum of vectors|^2 - members) / 2 is the sum of all pairs' cosines.
+    members = parts.groupBy("component").agg(F.count("*").alias("n"))
+    sums = v.join(parts, "id").groupBy("component", "term").agg(F.sum("w").alias("w")).groupBy("component").agg(F.sum(F.col("w") * F.col("w")).alias("q"))
+    pairs = F.col("n") * (F.col("n") - 1) / 2
+    return sums.join(members, "component").select("component", pairs.cast("long").alias("pairs"), F.round((F.col("q") - F.col("n")) / 2 / pairs, 6).alias("mean_similarity"))
+
+
 @query("nearest_texts", "W10", sql=_V + "SELECT id, other, round(cosine, 6) AS cosine, rank FROM k")
 def nearest_texts(spark, d):
     return corpus.neighbours(_vectors(spark, d), 6).select("id", "other", F.round("cosine", 6).alias("cosine"), F.col("rank").cast("long").alias("rank"))
@@ -40,12 +52,23 @@ def mutual_neighbour_clusters(spark, d):
 @query("cluster_scores", "G12", sql=_P + "SELECT p.component, count(*) AS pairs, round(sum(coalesce(least(1, cosine), 0)) / count(*), 6) AS mean_similarity FROM parts p JOIN parts q ON p.component = q.component AND p.id < q.id LEFT JOIN s ON s.id = p.id AND s.other = q.id GROUP BY 1")
 def cluster_scores(spark, d):
     v = _vectors(spark, d)
-    parts = closure.cut(_parts(closure.cut(corpus.neighbours(v, 6))))
-    # The mean over all pairs of a cluster from its sums: (|sum of vectors|^2 - members) / 2 is the sum of all pairs' cosines.
-    members = parts.groupBy("component").agg(F.count("*").alias("n"))
-    sums = v.join(parts, "id").groupBy("component", "term").agg(F.sum("w").alias("w")).groupBy("component").agg(F.sum(F.col("w") * F.col("w")).alias("q"))
-    pairs = F.col("n") * (F.col("n") - 1) / 2
-    return sums.join(members, "component").select("component", pairs.cast("long").alias("pairs"), F.round((F.col("q") - F.col("n")) / 2 / pairs, 6).alias("mean_similarity"))
+    return _scores(v, closure.cut(_parts(closure.cut(corpus.neighbours(v, 6)))))
+
+
+@query("all_nearest_texts", "W10", sql=_V8 + "SELECT id, other, round(cosine, 6) AS cosine, rank FROM k")
+def all_nearest_texts(spark, d):
+    return corpus.neighbours_of_all(_vectors(spark, d, 0.8), 6).select("id", "other", F.round("cosine", 6).alias("cosine"), F.col("rank").cast("long").alias("rank"))
+
+
+@query("all_neighbour_clusters", "G11", sql=_P8 + "SELECT id, component FROM parts")
+def all_neighbour_clusters(spark, d):
+    return _parts(closure.cut(corpus.neighbours_of_all(_vectors(spark, d, 0.8), 6)))
+
+
+@query("all_cluster_scores", "G12", sql=_P8 + "SELECT p.component, count(*) AS pairs, round(sum(coalesce(least(1, cosine), 0)) / count(*), 6) AS mean_similarity FROM parts p JOIN parts q ON p.component = q.component AND p.id < q.id LEFT JOIN s ON s.id = p.id AND s.other = q.id GROUP BY 1")
+def all_cluster_scores(spark, d):
+    v = _vectors(spark, d, 0.8)
+    return _scores(v, closure.cut(_parts(closure.cut(corpus.neighbours_of_all(v, 6)))))
 
 
 @query("vector_cosine", "X6", sql="SELECT a.vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS cosine FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")

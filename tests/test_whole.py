@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from orrery.operators import closure, vectors
+from orrery.operators import closure, corpus, vectors
 from orrery.plans import registry
 from orrery.sources import tables
 
@@ -80,3 +80,16 @@ def test_files_behind_an_order_are_found(spark):
     got = {r.path for r in registry.QUERIES["all_dependent_files"](spark, "/root/testdata/sf0.001").collect()}
     assert {"geo/regions.sql"} <= got and any(p.startswith("geo/") and p.endswith("nations.sql") for p in got) and any(p.startswith("customer/") for p in got)
     assert "U5" not in registry.COVERS["dependent_files"] and registry.COVERS["extra_seed_files"] == ("U5",)
+
+
+def test_neighbours_by_common_terms(spark):
+    rng = np.random.default_rng(2)
+    x = np.where(rng.random((90, 30)) < np.linspace(0.8, 0.02, 30), rng.integers(1, 9, (90, 30)), 0.0)
+    x[3], x[4] = x[5], 0
+    x /= np.maximum(np.linalg.norm(x, axis=1), 1e-9)[:, None]
+    cos = np.round(x @ x.T, 9)
+    want = {(i, int(j), r) for i in range(90) for r, j in enumerate([j for j in np.lexsort((np.arange(90), -cos[i])) if j != i and cos[i, j] > 0][:6], 1)}
+    v = spark.createDataFrame([(int(i), f"t{j}", float(x[i, j])) for i, j in zip(*np.nonzero(x), strict=True)], "id long, term string, w double")
+    for block in (corpus.BLOCK, 25):
+        assert {(r.id, r.other, r.rank) for r in corpus.neighbours_of_all(v, 6, block).collect()} == want
+    assert corpus.neighbours_of_all(v.where("false"), 6).count() == 0
