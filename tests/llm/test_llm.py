@@ -210,10 +210,43 @@ def test_near_duplicates_of_odd_rows(spark, odd):
 
 def test_grammar():
     m = toxicity.grammar()
-    assert [x for x, _ in m.walk(["Y", "o", "I"])][-1] == "y"
-    assert [x for x, _ in m.walk(["N", "o", "I"])][-1] == "J"
-    assert [x for x, _ in m.walk(["R", "o", "o", "I"])][-1] == "K"
-    assert [x for x, _ in m.walk(["M", "V"])][-1] == "T" and [x for x, _ in m.walk(["V"])] == ["o"]
+    assert m.walk(["Y", "o", "A6"])[-1] == ("y", 4.5) and m.walk(["A6"]) == [("I", 3.0)]
+    assert m.walk(["A6", "o", "A6"])[-1] == ("I", 1.5)
+    negated, reported = m.walk(["N", "o", "A6"])[-1], m.walk(["R", "o", "o", "A6"])[-1]
+    assert negated[0] == "J" and np.isclose(negated[1], 0.3) and reported[0] == "K" and np.isclose(reported[1], 0.9)
+    assert m.walk(["N", "o", "o", "o", "A6"])[-1] == ("I", 3.0)
+    assert m.walk(["M", "V", "o", "Y"])[-1] == ("T", toxicity.THREAT) and [x for x, _ in m.walk(["V", "Y"])] == ["o", "Y"]
+    assert m.walk(["M", "N", "V", "Y"])[-1][0] == "U" and m.walk(["N", "o", "o", "M", "V", "Y"])[-1][0] == "T"
+    assert m.walk(["VA3"]) == [("I", 1.5)] and m.walk(["R", "M", "V", "Y"])[-1][0] == "W"
+
+
+def plain_machine():
+    """Every insult at its own weight; nothing else counts."""
+    arcs = {x: (0, "I", toxicity.LEVEL * int(x.split("A")[1])) if "A" in x else (0, x, 1.0) for x in toxicity.ALPHABET}
+    return toxicity.Fst({0: arcs})
+
+
+def test_clause_patterns_decide():
+    ill = ["you are an idiot", "you worthless moron", "the clown is a pathetic loser, you trash", "du bist ein Dummkopf"]
+    good = ["the weather was fine today", "the committee met at noon and left", "not a word was said", "das Wetter ist gut"]
+    texts = [f"{t}. number {i}" for i in range(30) for t in ill + good]
+    y = [1, 1, 1, 1, 0, 0, 0, 0] * 30
+    scorer = toxicity.Scorer(toxicity.learn_arcs(texts, y))
+
+    def features(s, x):
+        data, offsets = parts(x)
+        return s.features(common.Words(data, offsets, common.NOT_ALNUM), data)
+
+    scorer.coefficients = toxicity.fit_logistic(features(scorer, texts), np.array(y, float))
+    assert (scorer.coefficients[1:] >= 0).all()
+    asked = ["You are an idiot.", "You are not an idiot.", "He said that you are an idiot.", "An idiot.", "I will hurt you.", "I will not hurt you.", "The farmers hurt the crop."]
+    s = dict(zip(asked, scorer.score(features(scorer, asked)), strict=True))
+    assert s["You are an idiot."] > s["An idiot."] > s["He said that you are an idiot."] > s["You are not an idiot."]
+    assert s["I will hurt you."] > 0.5 > s["I will not hurt you."] and s["The farmers hurt the crop."] < 0.5
+    plain = toxicity.Scorer(scorer.arcs, scorer.coefficients)
+    plain.machine = plain_machine()
+    other = dict(zip(asked, plain.score(features(plain, asked)), strict=True))
+    assert {x for x in asked if (s[x] >= 0.5) != (other[x] >= 0.5)} >= {"You are not an idiot.", "He said that you are an idiot.", "I will hurt you."}
 
 
 def test_toxicity(spark, odd):
