@@ -228,7 +228,7 @@ def plain_machine():
 
 def test_clause_patterns_decide():
     ill = ["you are an idiot", "you worthless moron", "the clown is a pathetic loser, you trash", "du bist ein Dummkopf"]
-    good = ["the weather was fine today", "the committee met at noon and left", "not a word was said", "das Wetter ist gut"]
+    good = ["you are an old friend and the weather is a joy", "the committee met at noon and you left", "not a word was said", "du bist ein guter Freund"]
     texts = [f"{t}. number {i}" for i in range(30) for t in ill + good]
     y = [1, 1, 1, 1, 0, 0, 0, 0] * 30
     scorer = toxicity.Scorer(toxicity.learn_arcs(texts, y))
