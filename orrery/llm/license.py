@@ -1,13 +1,16 @@
 """Licence scan: a paragraph classifier over word n-grams, confirmed by comparison with templates.
 
-A paragraph's features are hashed word unigrams and bigrams. A sparse multinomial logistic regression, trained on
-variations of the built-in templates and on ordinary paragraphs, gives each family a score; the largest one counts only
-above a threshold that is calibrated on ordinary paragraphs which training hasn't seen: what lies below is *unknown*.
-What remains is compared with the family's templates, and a paragraph is confirmed if enough of a template's words stand
-in it in order. Paragraphs lie between blank lines; their sentences, lines and runs of these are scored as well as the whole.
-
-Ordinary paragraphs come from at most NEGATIVE_ROWS documents, chosen by a hash of their ids; scanning covers every
-paragraph of every text.
+A paragraph's features are the word unigrams and bigrams that it holds; how often it holds one doesn't matter. A sparse
+multinomial logistic regression, trained on variations of the built-in templates and on ordinary pieces of text, gives
+each family a score. The margin of the best family over *unknown* is calibrated on ordinary pieces and variations which
+training hasn't seen: a logistic curve gives the probability that a piece is a licence, and its threshold is where the
+tail of the ordinary margins falls below FALSE_RATE, but never above what held-out variations reach: what lies below is
+*unknown*. What remains is compared with the family's templates, and a paragraph is confirmed if enough of a template's words
+stand in it in order. Paragraphs lie between blank lines; their sentences, lines and runs of these are scored as well as
+the whole.
+
+Ordinary pieces for training and calibration are SAMPLE_PIECES sentences and lines of at most SAMPLE_CHARS characters,
+chosen by a hash from about SAMPLE_ROWS documents; scanning covers every paragraph of every text.
 """
 
 from __future__ import annotations
@@ -22,16 +25,13 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Documents from which ordinary paragraphs are taken for training and calibration.
-NEGATIVE_ROWS = 400
-#: Ordinary paragraphs for training, and as many for calibration.
-ORDINARY = 4_000
-BUCKETS = 1 << 14
+#: The sample for training and calibration: documents, pieces of them, characters of a piece.
+SAMPLE_ROWS, SAMPLE_PIECES, SAMPLE_CHARS = 2_000, 24_000, 1_000
 #: Share of a template's words which a confirmed paragraph holds in order.
 CONFIRMED = 0.6
 #: Words from the begin of a run's first piece to that of its last: eight times the longest template.
 SPAN = 300
-#: Ordinary paragraphs that calibration lets pass.
+#: Share of ordinary pieces that calibration lets pass, before templates are compared.
 FALSE_RATE = 1e-3
 
 TEMPLATES: dict[str, list[str]] = {
@@ -55,11 +55,10 @@ SCHEMA = "doc_id long, paragraph int, family string, probability double, overlap
 
 
 def features(w: common.Words) -> tuple[np.ndarray, np.ndarray]:
-    """(paragraph, bucket) of the unigrams and bigrams of each of the texts of ``w``."""
+    """(text, hash) of the unigrams and bigrams of each of the texts of ``w``."""
     text = np.repeat(np.arange(len(w.doc) - 1), np.diff(w.doc))
-    one = (w.hash >> np.uint64(50)).astype(np.int64)
     two, whole = common.grams(w, 2)
-    return np.concatenate([text, text[: len(two)][whole]]), np.concatenate([one, (two[whole] >> np.uint64(50)).astype(np.int64)])
+    return np.concatenate([text, text[: len(two)][whole]]), np.concatenate([w.hash, two[whole]])
 
 
 def paragraphs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -71,26 +70,39 @@ def paragraphs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 class Model:
-    """Weights (families, buckets), intercepts and the threshold on the score over *unknown*."""
+    """Weights (families, features) of the sorted feature hashes ``known``, intercepts, and the calibration: threshold and curve.
 
-    def __init__(self, weights: np.ndarray, bias: np.ndarray, threshold: float):
-        self.weights, self.bias, self.threshold = weights, bias, threshold
+    ``curve``: intercept and slope of the logistic curve that turns a margin over *unknown* into a probability.
+    """
 
-    def scores(self, rows: int, where: np.ndarray, bucket: np.ndarray) -> np.ndarray:
-        """(rows, families) of mean feature weights. Features without weight are skipped: few words speak of licences."""
+    def __init__(self, known: np.ndarray, weights: np.ndarray, bias: np.ndarray, threshold: float = 0.5, curve: tuple[float, float] = (0.0, 1.0)):
+        self.known, self.weights, self.bias, self.threshold, self.curve = known, weights, bias, threshold, curve
+        self.bits = np.zeros(1 << 20, bool)
+        self.bits[(known >> np.uint64(44)).astype(np.int64)] = True
+
+    def held(self, where: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct (text, feature) pairs of known features."""
+        may = np.flatnonzero(self.bits[(hashes >> np.uint64(44)).astype(np.int64)])
+        at = np.minimum(np.searchsorted(self.known, hashes[may]), len(self.known) - 1)
+        hit = self.known[at] == hashes[may]
+        pairs = np.unique(where[may[hit]] * len(self.known) + at[hit])
+        return pairs // len(self.known), pairs % len(self.known)
+
+    def scores(self, rows: int, where: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        """(rows, families): sums of the weights of the features present, over the root of the number of all features."""
         out = np.zeros((rows, len(FAMILIES)))
         n = np.maximum(1, np.bincount(where, minlength=rows)) ** 0.5
-        any_weight = self.used[bucket]
-        where, bucket = where[any_weight], bucket[any_weight]
+        text, feature = self.held(where, hashes)
         for f in range(len(FAMILIES)):
-            out[:, f] = np.bincount(where, self.weights[f, bucket], rows)
+            out[:, f] = np.bincount(text, self.weights[f, feature], rows)
         return out / n[:, None] + self.bias
 
-    @property
-    def used(self) -> np.ndarray:
-        if not hasattr(self, "_used"):
-            self._used = (self.weights != 0).any(0)
-        return self._used
+    def margins(self, texts: list[str]) -> np.ndarray:
+        s = self.scores(len(texts), *_rows(texts))
+        return s[:, 1:].max(1) - s[:, 0]
+
+    def probability(self, margin: float) -> float:
+        return float(1 / (1 + np.exp(-np.clip(self.curve[0] + self.curve[1] * margin, -30, 30))))
 
 
 def _variations(rng: np.random.Generator, per_template: int = 40) -> tuple[list[str], list[int]]:
@@ -119,43 +131,73 @@ def _rows(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return features(common.Words(data, np.cumsum([0, *map(len, raw)]), common.NOT_ALNUM))
 
 
-def fit(ordinary: list[str], steps: int = 200, rate: float = 1.0, penalty: float = 1e-4) -> Model:
-    """Train on template variations and half of the ordinary paragraphs; calibrate on the other half."""
-    rng = np.random.default_rng(11)
-    texts, labels = _variations(rng)
-    licence = re.compile(r"licen[sc]e|copyright|all rights reserved|creative commons|redistribut|cc[ -]by", re.I)
-    ordinary = [t for t in ordinary if t.strip() and not licence.search(t)]
-    training, held = ordinary[::2][:ORDINARY], ordinary[1::2][:ORDINARY]
-    texts, labels = texts + training, labels + [0] * len(training)
-    where, bucket = _rows(texts)
-    n = np.maximum(1, np.bincount(where, minlength=len(texts))) ** 0.5
-    # Words that no licence has tell nothing: their weights stay zero.
-    seen = np.unique(bucket[np.array(labels)[where] > 0])
-    own = np.isin(bucket, seen)
-    x = np.zeros((len(texts), len(seen)))
-    np.add.at(x, (where[own], np.searchsorted(seen, bucket[own])), 1)
-    x /= n[:, None]
+_LICENCE = re.compile(r"licen[sc]e|copyright|all rights reserved|creative commons|redistribut|cc[ -]by", re.I)
+
+
+def fit(ordinary: list[str], steps: int = 200, rate: float = 1.0, penalty: float = 1e-4, seed: int = 11) -> Model:
+    """Train on half of the template variations and of the ordinary pieces; calibrate on the other half."""
+    rng = np.random.default_rng(seed)
+    varied, families = _variations(rng)
+    ordinary = [t for t in ordinary if t.strip() and not _LICENCE.search(t)]
+    # One word again and again is ordinary, too, and no licence has only words of its own.
+    words = sorted({x for f in FAMILIES[1:] for t in TEMPLATES[f] for x in re.findall(r"[A-Za-z0-9]+", t.lower())})
+    ordinary += [f"{x}. " * n for i, x in enumerate(words) for n in (1 + i % 3, 40)]
+    training, held = ordinary[::2], ordinary[1::2]
+    texts, labels = varied[::2] + training, families[::2] + [0] * len(training)
+    where, hashes = _rows(texts)
     y = np.eye(len(FAMILIES))[labels]
+    # Words that no licence has tell nothing: they get no weights.
+    known = np.unique(hashes[np.array(labels)[where] > 0])
+    model = Model(known, np.zeros((len(FAMILIES), len(known))), np.zeros(len(FAMILIES)))
+    text, feature = model.held(where, hashes)
+    n = np.maximum(1, np.bincount(where, minlength=len(texts))) ** 0.5
+    # Texts without known features are all alike: one row of them, with their number as weight.
+    full = np.unique(np.r_[text, np.flatnonzero(np.array(labels) > 0)])
+    x = np.zeros((len(full) + 1, len(known)))
+    x[np.searchsorted(full, text), feature] = 1 / n[text]
     balance = 1 / np.maximum(1, np.bincount(labels, minlength=len(FAMILIES)))[labels] / len(FAMILIES)
-    w, b = np.zeros((len(FAMILIES), len(seen))), np.zeros(len(FAMILIES))
+    weight = np.r_[balance[full], balance.sum() - balance[full].sum()]
+    y = np.r_[y[full], np.eye(len(FAMILIES))[:1]]
+    w, b = model.weights, model.bias
     for step in range(steps):
         z = x @ w.T + b
         p = np.exp(z - z.max(1, keepdims=True))
         p /= p.sum(1, keepdims=True)
-        g = (p - y) * balance[:, None]
+        g = (p - y) * weight[:, None]
         pace = rate * 20 / (1 + step / 50)
         w -= pace * (g.T @ x + penalty * w)
         b -= pace * g.sum(0)
     w[np.abs(w) < 0.05] = 0  # sparse
-    weights = np.zeros((len(FAMILIES), BUCKETS))
-    weights[:, seen] = w
-    model = Model(weights, b, 0.0)
-    if held:
-        s = model.scores(len(held), *_rows(held))
-        margin = np.sort(s[:, 1:].max(1) - s[:, 0])
-        model.threshold = max(0.5, float(margin[min(len(margin) - 1, int(len(margin) * (1 - FALSE_RATE)))]))
-    else:
-        model.threshold = 0.5
+    kept = w.any(0)
+    model = Model(known[kept], w[:, kept], b)
+    return calibrate(model, held, varied[1::2])
+
+
+def calibrate(model: Model, ordinary: list[str], licences: list[str]) -> Model:
+    """Set curve and threshold from pieces that training hasn't seen.
+
+    Both classes weigh the same for the curve. The threshold is the margin of probability one half, or where the tail of the
+    ordinary margins, fitted as exponential beyond their 98th percentile so that no single piece decides, falls to
+    FALSE_RATE if that is more; but no more than the margin that all but a hundredth of the licences reach.
+    """
+    good = np.sort(model.margins(licences))
+    floor = float(good[len(good) // 100])
+    if not ordinary:
+        model.threshold = min(0.5, floor)
+        return model
+    m = model.margins(ordinary)
+    x, y = np.r_[m, good], np.r_[np.zeros(len(m)), np.ones(len(good))]
+    weight = np.r_[np.full(len(m), 1 / len(m)), np.full(len(good), 1 / len(good))]
+    curve, one = np.zeros(2), np.c_[np.ones(len(x)), x]
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(one @ curve, -30, 30)))
+        step = np.linalg.solve(one.T @ (one * (weight * p * (1 - p))[:, None]) + 1e-3 * np.eye(2), one.T @ (weight * (y - p)) - 1e-3 * curve)
+        curve += np.clip(step, -2, 2)
+    model.curve = (float(curve[0]), float(curve[1]))
+    start, share = float(np.quantile(m, 0.98)), 0.02
+    beyond = m[m > start]
+    scale = float(np.median(beyond) - start) / np.log(2) if len(beyond) else 0.0
+    model.threshold = min(max(start + scale * np.log(share / FALSE_RATE), -curve[0] / curve[1]), floor)
     return model
 
 
@@ -177,18 +219,24 @@ def overlap(words: list[int], template: list[int]) -> float:
     return row[-1] / max(1, len(template))
 
 
-def train(docs: DataFrame, rows: int = NEGATIVE_ROWS) -> Model:
-    """Train on ordinary paragraphs of the ``rows`` documents whose ids have the smallest hashes.
+def sample(docs: DataFrame, rows: int = SAMPLE_ROWS, pieces: int = SAMPLE_PIECES) -> list[str]:
+    """Pieces (lines, and what full stops make of them) of about ``rows`` documents, ``pieces`` at most, in the order of a hash.
 
-    A bound on the hash, four times what ``rows`` needs, comes first, so that tasks send about 4 * rows texts together,
-    however many tasks there are.
+    Bounds on the hashes come first, so that tasks send little more than that together, however many there are; a piece
+    of more than SAMPLE_CHARS characters isn't chosen.
     """
-    chosen = docs.where("text is not null and doc_id is not null").select("doc_id", "text")
-    share = min(1.0, 4 * rows / max(1, chosen.count()))
-    small = F.shiftrightunsigned(F.xxhash64("doc_id"), 11) < F.lit(int(2**53 * share))
-    order = F.shiftrightunsigned(F.xxhash64("doc_id"), 11)
-    texts = [r[1] for r in sorted(chosen.where(small).orderBy(order, "doc_id").limit(rows).collect())]
-    return fit([p for t in texts for p in re.split(r"[\r\n]", t)])
+    chosen = docs.where("text is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    share = min(1.0, rows / max(1, chosen.count()))
+    place = F.shiftrightunsigned(F.xxhash64("doc_id"), 11)
+    cut = chosen.where(place < F.lit(int(2**53 * share))).select("doc_id", F.posexplode(F.split("text", r"[\r\n]|(?<=\.)(?=\s)")).alias("at", "piece"))
+    cut = cut.where((F.length("piece") <= SAMPLE_CHARS) & (F.length(F.trim("piece")) > 0))
+    order = F.xxhash64("doc_id", "at", "piece")
+    return [r[0] for r in cut.orderBy(order, "piece").limit(pieces).select("piece").collect()]
+
+
+def train(docs: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
+    """Train and calibrate on ordinary pieces of ``docs``."""
+    return fit(sample(docs, rows))
 
 
 def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
@@ -200,10 +248,10 @@ def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """
     common.bounded_batches(common.session(docs))
     model = model or train(docs)
-    weights, bias, threshold = model.weights.astype(np.float32), model.bias, model.threshold
+    fitted = (model.known, model.weights, model.bias, model.threshold, model.curve)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Model(weights, bias, threshold)
+        own = Model(*fitted)
         templates = template_words()
         for batch in batches:
             found = []
@@ -247,8 +295,7 @@ def confirmed(model: Model, templates: list[list[list[int]]], w: common.Words) -
         words = w.hash[w.doc[x] : w.doc[x + 1]].tolist()
         share, _, f = max((max(overlap(words, t) for t in templates[f]), float(s[x, f]), -f) for f in range(1, len(FAMILIES)) if s[x, f] - s[x, 0] > 0)
         if share >= CONFIRMED:
-            z = np.exp(s[x] - s[x].max())
-            out.append((x, share, len(words), -f, float(z[-f] / z.sum())))
+            out.append((x, share, len(words), -f, model.probability(float(s[x, -f] - s[x, 0]))))
     return out
 
 

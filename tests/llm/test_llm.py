@@ -448,6 +448,21 @@ def test_licences(spark, docs, odd):
     assert license.scan(odd, model).count() == 0 and license.scan(df.where("false"), model).count() == 0
 
 
+def test_licence_calibration_does_not_hang_on_a_piece():
+    """All templates pass and ordinary pieces don't, whatever the sample and whatever word it repeats."""
+    rng = np.random.default_rng(5)
+    words = [f"w{x}" for x in range(500)] + "the of work version in use and source public this software free".split()
+    pieces = [" ".join(rng.choice(words, rng.integers(3, 40))) + "." for _ in range(12_000)]
+    templates = [t for f in license.FAMILIES[1:] for t in license.TEMPLATES[f]]
+    for seed in range(6):
+        own = [pieces[i] for i in rng.permutation(len(pieces))[:6_000]] + ["Thshtion. " * 600, "software " * 700, "licensed. " * 500][: seed % 4]
+        model = license.fit(own, seed=seed)
+        assert (model.margins(templates) > model.threshold).all()
+        assert (model.margins(pieces) > model.threshold).mean() <= license.FALSE_RATE
+        assert model.margins(["version " * 900, "work. " * 2_000])[0] < model.threshold
+        assert license.calibrate(model, [], templates).threshold <= 0.5
+
+
 @pytest.mark.parametrize("end", ["\n", "\r\n", "\n# "])
 def test_licences_in_wrapped_paragraphs(spark, docs, end):
     mit = ["Permission is hereby granted, free of charge, to any person obtaining a", "copy of this software and associated documentation files (the \"Software\"),", "to deal in the Software without restriction, including without limitation"]
