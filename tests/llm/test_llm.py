@@ -86,6 +86,41 @@ def test_best_window_is_exact(item, words):
     assert d == min(every) == decontam.edit_distance(item, words[a:b], 99)
 
 
+def test_decontamination_recall_against_brute_force():
+    """Items of 10 to 400 words, copies with none to all allowed edits: every window that an exact search finds, but for RECALL."""
+    rng = np.random.default_rng(7)
+    wanted = found = 0
+    for n in (3, 10, 24, 80, 160, 320, 400):
+        for rate in (0.0, 0.1, 0.2):
+            items = [[f"w{x}" for x in rng.integers(0, 30_000, n)] for _ in range(12)]
+            texts = []
+            for i, item in enumerate(items):
+                copy = list(item)
+                for _ in range(int(n * rate)):
+                    at, kind = int(rng.integers(len(copy))), i % 3 and int(rng.integers(3))
+                    if kind == 1:
+                        copy.insert(at, "inserted")
+                    elif kind == 2:
+                        del copy[at]
+                    else:
+                        copy[at] = f"z{i}"
+                texts.append(" ".join([*(f"q{x}" for x in rng.integers(0, 3_000, 60)), *copy, *(f"q{x}" for x in rng.integers(0, 3_000, 60))]))
+            index = decontam.Index([(i, " ".join(x)) for i, x in enumerate(items)])
+            w = common.Words(*parts(texts), common.NOT_ALNUM)
+            got = {(t, k): (d, a, m) for t, k, d, a, m in index.matches(w)}
+            for t in range(12):
+                for k in range(12):
+                    d, a, b = decontam.best_window(index.words[k], w.hash[w.doc[t] : w.doc[t + 1]], 0)
+                    assert ((t, k) in got) <= (d <= index.most[k])
+                    if d <= index.most[k]:
+                        wanted += 1
+                        found += (t, k) in got
+                        assert rate or (t, k) in got
+                        if (t, k) in got:
+                            assert got[t, k] == (d, a, b - a)
+    assert wanted >= 12 * 21 and found >= 0.98 * wanted
+
+
 # --- op2
 
 
