@@ -6,44 +6,61 @@ are summed for each host in Spark, and every page is read again at its host's wi
 uses its own best container.
 
 Within the container, menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments
-are left out, by tag and by the words of class, id and role. A block is what block-level tags bound; a line break inside
-a block is white space.
+are left out, by tag and by class, id and role. A class counts if all its words speak of such parts or are words of layout;
+a few names that articles use as well count outside of articles only. A block is what block-level tags bound; a line break
+inside a block is white space. Each page is parsed twice, once for its vote and once for its text: keeping the parsed blocks
+between would write all text to disk once more.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 
-#: Hosts up to which the table of winning paths is broadcast; a path is cut at PATH_STEPS steps of 60 signs.
+#: Hosts up to which the table of winning paths is broadcast.
 BROADCAST_HOSTS = 50_000
-PATH_STEPS = 12
+#: A path or a step that is longer goes on as its digest: paths stay whole and their length bounded.
+PATH_CHARS = 400
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|iframe|textarea|select|svg|math|object|title)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)",
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</(?![a-zA-Z])[^>]*(?:>|\Z)"
+    r"|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?>=\s*(?:\"[^\"]*\"|'[^']*')|[^>])*+)(?:>|\Z)",
     re.S | re.I,
 )
-_ATTR = re.compile(r"(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+#: Elements whose content is no markup.
+_RAW = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for tag in ("script", "style", "textarea", "title", "xmp")}
+_ATTR = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_SELF_CLOSED = re.compile(r"(?:\A|[\s\"'])/\s*\Z")
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 CONTAINERS = {"html", "body", "main", "article", "section", "div", "td", "center"}
 BLOCKS = CONTAINERS | {
     "p", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "li", "dl", "dt", "dd", "table", "tr", "th", "thead", "tbody", "tfoot", "caption", "blockquote", "pre",
     "figure", "figcaption", "header", "footer", "nav", "aside", "form", "fieldset", "address", "details", "summary", "hr", "hgroup", "dialog", "menu", "head",
 }
-DROPPED = {"nav", "footer", "aside", "form", "head", "menu", "dialog", "button", "label", "fieldset", "option"}
-_WORDS = re.compile(
-    r"ads?|adverts?|advertisement|advertising|sponsor(?:ed)?|promo(?:tion)?s?|banner|sidebar|side|menu|nav|navbar|navigation|breadcrumbs?|footer|foot|header|masthead|topbar"
-    r"|comments?|commentlist|respond|replies|reply|disqus|notices?|cookies?|consent|gdpr|alert|popup|modal|overlay|newsletter|subscribe|signup|login|search|share|sharing|social|related|recommended|widget|toolbar|pagination|pager|copyright|legal|disclaimer|tags"
+DROPPED = {
+    "nav", "header", "footer", "aside", "form", "fieldset", "button", "select", "option", "datalist", "head", "menu", "dialog",
+    "noscript", "template", "iframe", "svg", *_RAW,
+}
+#: Names of parts that are left out, names that also occur inside articles, and words of layout that may stand beside either.
+PARTS = frozenset(
+    "ad ads advert adverts advertisement advertisements advertising sponsor sponsored promo promos promotion promotions banner sidebar menu nav navbar navigation breadcrumb breadcrumbs "
+    "footer header masthead topbar comment comments commentlist respond reply replies disqus notice notices cookie cookies consent gdpr popup modal overlay newsletter subscribe signup "
+    "login toolbar pagination pager disclaimer copyright".split()
+)
+SHARED = frozenset("side foot search share sharing social related recommended widget widgets legal alert alerts tags".split())
+LAYOUT = frozenset(
+    "box boxes wrap wrapper container block section bar list area inner outer top bottom left right site page global main primary secondary row col column group item items link links "
+    "button buttons icon icons slot unit form message policy panel content holder region zone sticky fixed mobile desktop".split()
 )
 _KEPT = {"html", "body", "article", "main"}
 #: Elements that another of their kind or an outer end closes.
@@ -57,20 +74,32 @@ class Box(NamedTuple):
     parent: int
 
 
-def _boilerplate(tag: str, attrs: str) -> tuple[bool, str]:
+def _named(token: str, in_article: bool) -> bool:
+    """Whether a class, an id or a role names a part that is left out."""
+    words = [w for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", token).lower()) if w]
+    if not words or not all(w in PARTS or w in SHARED or w in LAYOUT for w in words):
+        return False
+    return any(w in PARTS for w in words) or any(w in SHARED for w in words) and (not in_article or len(words) > 1)
+
+
+def _digest(text: str) -> str:
+    return "#" + hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
+
+
+def _boilerplate(tag: str, attrs: str, in_article: bool) -> tuple[bool, str]:
     """(whether the element is left out, its step in a path)."""
-    classes, words, hidden = "", [], False
-    if "=" in attrs or "hidden" in attrs:
+    step, out = tag, tag in DROPPED
+    if "=" in attrs or "hidden" in attrs.lower():
         for name, a, b, c in _ATTR.findall(attrs):
             name, value = name.lower(), a or b or c
             if name == "class":
-                classes = ".".join(sorted(set(re.sub(r"\d+", "", value.lower()).split())))
-            if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
-                hidden = True
-            if name in ("class", "id", "role"):
-                words += re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower())
-    out = hidden or tag in DROPPED or (tag == "header") or tag not in _KEPT and any(_WORDS.fullmatch(w) for w in words if w)
-    return out, (f"{tag}.{classes}" if classes else tag)[:60]
+                if classes := ".".join(sorted(set(re.sub(r"\d+", "", value.lower()).split()))):
+                    step = f"{tag}.{classes}"
+            if name == "hidden" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
+                out = True
+            elif name in ("class", "id", "role") and not out and tag not in _KEPT:
+                out = any(_named(token, in_article) for token in value.split())
+    return out, step if len(step) <= PATH_CHARS else tag + _digest(step)
 
 
 def parse(page: str) -> tuple[list[tuple[str, int]], list[Box]]:
@@ -81,7 +110,8 @@ def parse(page: str) -> tuple[list[tuple[str, int]], list[Box]]:
     blocks: list[tuple[str, int]] = []
     boxes: list[list] = []
     stack: list[tuple[str, bool, int]] = []  # tag, left out, box or -1
-    path: list[str] = []
+    opened: Counter = Counter()
+    inside: list[int] = []  # boxes
     text: list[str] = []
     in_links = links = out = headings = 0
 
@@ -97,21 +127,27 @@ def parse(page: str) -> tuple[list[tuple[str, int]], list[Box]]:
     def pop() -> None:
         nonlocal out, links
         tag, left_out, box = stack.pop()
+        opened[tag] -= 1
         out -= left_out
         links -= tag == "a"
         if box >= 0:
             boxes[box][2] = len(blocks)
-            path.pop()
+            inside.pop()
+
+    def heard() -> bool:
+        return not out or headings > 0 and out == 1
 
     at = 0
-    for m in _TOKEN.finditer(page):
-        if m.start() > at and (not out or headings and out == 1):
+    while m := _TOKEN.search(page, at):
+        if m.start() > at and heard():
             text.append(piece := page[at : m.start()])
             if links:
                 in_links += len(piece)
         at = m.end()
         tag = m["tag"]
         if not tag:
+            if m[0].startswith("<![CDATA[") and (opened["svg"] or opened["math"]) and heard():
+                text.append(entities.escape(m[0][9:].removesuffix("]]>")))
             continue
         tag = tag.lower()
         if tag in BLOCKS:
@@ -119,7 +155,7 @@ def parse(page: str) -> tuple[list[tuple[str, int]], list[Box]]:
         elif tag == "br":
             text.append(" ")
         if m["close"]:
-            if any(s[0] == tag for s in stack):
+            if opened[tag] > 0:
                 while stack[-1][0] != tag:
                     pop()
                 pop()
@@ -127,35 +163,46 @@ def parse(page: str) -> tuple[list[tuple[str, int]], list[Box]]:
                 headings = max(0, headings - 1)
             continue
         attrs = m["attrs"]
-        if tag in VOID or attrs.endswith("/") and tag not in BLOCKS:
+        empty = attrs.rstrip().endswith("/") and _SELF_CLOSED.search(attrs) is not None
+        if tag in VOID or empty and tag not in BLOCKS:
+            continue
+        if tag in _RAW:
+            end = _RAW[tag].search(page, at)
+            at = end.end() if end else len(page)
             continue
         if closes := _CLOSES.get(tag):
-            for depth in range(len(stack) - 1, -1, -1):
-                if stack[depth][0] in closes:
-                    while len(stack) > depth:
-                        pop()
-                    break
-                if stack[depth][0] in BLOCKS and stack[depth][0] not in ("p",):
-                    break
-        elif tag in BLOCKS and any(s[0] == "p" for s in stack):
-            while any(s[0] == "p" for s in stack):
+            if any(opened[x] > 0 for x in closes):
+                for depth in range(len(stack) - 1, -1, -1):
+                    if stack[depth][0] in closes:
+                        while len(stack) > depth:
+                            pop()
+                        break
+                    if stack[depth][0] in BLOCKS and stack[depth][0] != "p":
+                        break
+        elif tag in BLOCKS:
+            while opened["p"] > 0:
                 pop()
-        left_out, step = _boilerplate(tag, attrs)
+        in_article = opened["article"] > 0 or opened["main"] > 0
+        left_out, step = _boilerplate(tag, attrs, in_article)
+        if empty and left_out:
+            continue
         box = -1
         if tag in CONTAINERS and not left_out and not out:
-            parent = next((s[2] for s in reversed(stack) if s[2] >= 0), -1)
-            path.append(step)
-            boxes.append([">".join(path[:PATH_STEPS]), len(blocks), None, parent])
-            box = len(boxes) - 1
-        if tag == "header" and any(s[0] in ("article", "main") for s in stack):
+            parent = inside[-1] if inside else -1
+            above = boxes[parent][0] if inside else ""
+            path = f"{above if len(above) <= PATH_CHARS else _digest(above)}>{step}" if above else step
+            box = len(boxes)
+            boxes.append([path, len(blocks), None, parent])
+            inside.append(box)
+        if tag == "header" and in_article:
             headings = 0
-        if tag in ("h1", "h2", "h3") and out == 1 and any(s[0] == "header" for s in stack) and any(s[0] in ("article", "main") for s in stack):
+        if tag in ("h1", "h2", "h3") and out == 1 and opened["header"] > 0 and in_article:
             headings += 1
-        if tag == "a":
-            links += 1
+        links += tag == "a"
         out += left_out
         stack.append((tag, left_out, box))
-    if at < len(page) and not out:
+        opened[tag] += 1
+    if at < len(page) and heard():
         text.append(page[at:])
     end_block()
     while stack:
@@ -165,12 +212,17 @@ def parse(page: str) -> tuple[list[tuple[str, int]], list[Box]]:
 
 def score(blocks: list[tuple[str, int]], boxes: list[Box]) -> list[float]:
     """For each container, the text outside links, weighed down for each level of the tree it is farther from its text."""
+    upto = [0]
+    for t, linked in blocks:
+        upto.append(upto[-1] + len(t) - 2 * linked)
+    inner = [0] * len(boxes)
+    for b in boxes:
+        if b.parent >= 0:
+            inner[b.parent] += upto[b.end] - upto[b.begin]
     own = [0.0] * len(boxes)
     for i, b in enumerate(boxes):
-        size = sum(len(t) - 2 * linked for t, linked in blocks[b.begin : b.end])
-        inner = sum(sum(len(t) - 2 * linked for t, linked in blocks[c.begin : c.end]) for c in boxes[i + 1 :] if c.parent == i)
         # What lies in the container itself counts whole, what lies in inner containers half.
-        own[i] = max(0.0, size - inner / 2)
+        own[i] = max(0.0, upto[b.end] - upto[b.begin] - inner[i] / 2)
         step = b.path.rsplit(">", 1)[-1].split(".")[0]
         if step in ("article", "main"):
             own[i] *= 1.5
@@ -221,10 +273,9 @@ def votes(pages: DataFrame) -> DataFrame:
 
 
 def consensus(pages: DataFrame) -> DataFrame:
-    """(host, path): the path with most votes, then most text, then the first by name. Sums come before the exchange by host."""
+    """(host, path): the path with most votes, then most text, then the last by name. Sums come before the exchange by host."""
     sums = votes(pages).groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("score").alias("score"))
-    first = F.row_number().over(Window.partitionBy("host").orderBy(F.desc("n"), F.desc("score"), "path"))
-    return sums.withColumn("r", first).where("r = 1").select("host", "path")
+    return sums.groupBy("host").agg(F.max(F.struct("n", "score", "path")).alias("m")).select("host", "m.path")
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -458,6 +458,51 @@ def test_extraction(spark):
     assert html.extract(pages.where("false")).count() == 0
 
 
+def whole(page):
+    return html.text_at(*html.parse(page), None)
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ('<p>one two</p><svg viewBox="0"/><p>three four five</p>', "one two\nthree four five"),
+        ("<p>one</p><iframe src=x/ /><object/><math/><p>two</p>", "one\ntwo"),
+        ("<p>one</p><iframe src='x'><p>no</p></iframe><svg><title>no</title><text>no</text></svg><p>two</p>", "one\ntwo"),
+        ("<p title=it's>one</p><p data-x=\"a>b\" y='>'>two</p><p class=\"open>three</p>", "one\ntwo\nthree"),
+        ("<article><p class=legal>one</p><div class=alert>two</div><label>three</label><p>x <math><mi>y</mi></math></p><span class='legal-history side'>four</span></article>", "one\ntwo\nthree\nx y\nfour"),
+        ("<article>one<div class='share-buttons'>no</div><div class='cookie-notice'>no</div><div id=comments>no</div><div class='adBox2 left'>no</div></article>", "one"),
+        ("<body><div class=legal>no</div><div class=search>no</div><p>one words here</p></body>", "one words here"),
+        ("<article><p data-x='hidden' style='overflow:hidden'>one</p><p hidden>no</p><p style='display: none'>no</p></article>", "one"),
+        ("<p>a < b &amp;&lt;c&gt; </> <!-- no -- > --> d<script src=x /></script><style>p{}</style><textarea><p>no</textarea></p>", "a < b &<c> d"),
+        ("<a href=/x/>one</a> two<script>var x='</p>'", "one two"),
+    ],
+)
+def test_extraction_of_odd_markup(page, want):
+    assert whole(page) == want
+
+
+def test_extraction_at_any_depth_and_size(spark):
+    def nested(n, tail="", name="a"):
+        return "<body>" + "".join(f"<div class='{name}-{i} {'x' * 70}{i}'>" for i in range(n)) + "<article>" + "<p>The article has these words of its own. " * 3 + "</article>" + tail + "</div>" * n
+
+    for n in (1, 11, 12, 13, 14, 15, 16, 20, 300):
+        noise = "<div><p>noise of another kind</p></div>"
+        pages = spark.createDataFrame([(i, "http://h/x", nested(n, noise)) for i in range(2)], "page_id long, url string, html string")
+        got = [r.text for r in html.extract(pages).collect()]
+        assert got[0] == got[1] and "noise" not in got[0] and got[0].count("article") == 3
+    import time
+
+    took = []
+    for n in (2_000, 16_000):
+        began = time.time()
+        text = whole("<body>" + "<div><p>some words stand here</p></div>" * n)
+        took.append(time.time() - began)
+        assert text.count("some") == n
+    assert took[1] < 24 * took[0] + 0.5  # eight times as many containers, not their square
+    deep = whole("<div>" * 20_000 + "words " * 10)
+    assert deep == " ".join(["words"] * 10)
+
+
 def test_extraction_of_the_given_pages(spark):
     import html as entities
 
