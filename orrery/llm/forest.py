@@ -3,8 +3,9 @@
 Every text gets minwise hashes of its word shingles. A tree of the forest orders the signatures by its own sequence of
 hashes; texts which share the longest prefix stand beside each other. Candidates of a text are, in each tree, its
 neighbours in that order and the head of its region, the texts that share a prefix. A region begins at the depth that
-gives the wanted recall; where it is crowded, its texts also get the head of the deepest region that is still shared,
-so depth follows density. Tests of signatures drop candidates which can hardly be near, and full shingle sets decide.
+gives the wanted recall; where it is crowded, its texts also get the heads of the deeper regions that they share,
+so depth follows density. The order is a range sort over all tasks, in which a crowded region takes as many tasks as it
+needs: each tells its last row, and the first rows of the next one are paired with that. Tests of signatures drop candidates which can hardly be near, and full shingle sets decide.
 
 Candidates give groups, whose texts then meet once: inside a group all pairs are compared that its links have not yet
 joined, so that links the candidate pairs miss are found, too. Groups beyond ``GROUP_ROWS`` or ``GROUP_BYTES`` are never
@@ -31,6 +32,10 @@ GROUP_ROWS = 4_000
 GROUP_BYTES = 48 << 20
 #: Regions with more members get heads at deeper levels.
 CROWD = 16
+#: A key with more than this share of the rows is joined apart from others.
+HOT_KEYS = 2_000
+#: Where numbers for rows without an id begin.
+NAMELESS = 1 << 62
 #: Standard deviations of the estimated similarity that a candidate may lie below the threshold.
 SLACK = 5.0
 
@@ -124,21 +129,77 @@ def sign(docs: DataFrame, k: int, threshold: float) -> DataFrame:
 
 
 def classes(signed: DataFrame) -> DataFrame:
-    """A row per different shingle set: rep (its smallest doc_id) and what ``sign`` found."""
-    return signed.where("key is not null").groupBy("key").agg(F.min(F.struct("doc_id", "n_shingles", "sig", "trees")).alias("m")).select(F.col("m.doc_id").alias("rep"), F.col("m.n_shingles").alias("n"), "m.sig", "m.trees")
+    """A row per different shingle set: rep (its smallest doc_id), its number of documents and what ``sign`` found."""
+    least = F.min(F.struct("doc_id", "n_shingles", "sig", "trees")).alias("m")
+    return signed.where("key is not null").groupBy("key").agg(least, F.count("*").alias("copies")).select("key", F.col("m.doc_id").alias("rep"), "copies", F.col("m.n_shingles").alias("n"), "m.sig", "m.trees")
+
+
+#: Deeper levels of a region: bits of ``d`` that two texts of a level don't share.
+LEVELS = (48, 32)
 
 
 def neighbours(reps: DataFrame) -> DataFrame:
     """Distinct candidate pairs (a < b) of the forest: order neighbours and heads of regions at adaptive depth."""
-    rows = reps.select("rep", F.posexplode("trees").alias("t", "s")).select("rep", "t", "s.k", "s.d")
-    order = Window.partitionBy("t", "k").orderBy("d", "rep")
-    level = lambda bits: F.shiftrightunsigned("d", bits)
-    by = rows.select("rep", F.struct("t", "k").alias("r"), "t", "k", "d", F.lag("rep").over(order).alias("prev"), F.row_number().over(order).alias("i"))
-    whole = Window.partitionBy("t", "k")
-    by = by.withColumn("head", F.min("rep").over(whole)).withColumn("size", F.max("i").over(whole))
-    out = by.where("size > 1").withColumns({f"head{b}": F.when(F.col("size") > CROWD, F.min("rep").over(Window.partitionBy("t", "k", level(b)))) for b in (48, 32)})
-    pairs = out.select("rep", F.explode(F.array_distinct(F.array_compact(F.array("prev", "head", "head48", "head32")))).alias("other")).where("rep <> other")
-    return pairs.select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct()
+    spark = reps.sparkSession
+    common.bounded_batches(spark)
+    rows = reps.select("rep", F.posexplode("trees").alias("t", "s")).select(F.col("t").cast("long").alias("t"), "s.k", "s.d", "rep")
+    ordered = rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "t", "k", "d", "rep").sortWithinPartitions("t", "k", "d", "rep")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Of the row before: its key (t, k, d), rep, place in its region, and the heads of the region and its levels.
+        last: list[int] | None = None
+        first: tuple | None = None
+        schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("ends", pa.list_(pa.int64()))])
+        for batch in batches:
+            t, k, d, rep = (np.asarray(c) for c in batch.columns)
+            n = len(rep)
+            if not n:
+                continue
+            if first is None:
+                first = (int(t[0]), int(k[0]), int(d[0]), int(rep[0]))
+            new = np.ones(n, bool)
+            new[1:] = (t[1:] != t[:-1]) | (k[1:] != k[:-1])
+            goes_on = last is not None and last[0] == t[0] and last[1] == k[0]
+            new[0] = not goes_on
+            at = np.arange(n)
+            start = np.maximum.accumulate(np.where(new, at, 0))
+            opened = np.maximum.accumulate(new)  # False: in the region that the last batch left open
+            place = at - start + np.where(opened, 0, last[4] + 1 if goes_on else 0)
+            before = np.r_[rep[:1] if last is None else [last[3]], rep[:-1]]
+            pairs = [(before[~new], rep[~new])]
+            head = np.where(opened, rep[start], last[5] if goes_on else 0)
+            pairs.append((head[place > 0], rep[place > 0]))
+            heads = [int(head[-1])]
+            for i, bits in enumerate(LEVELS):
+                level = d.view(np.uint64) >> np.uint64(bits)
+                begin = new.copy()
+                begin[1:] |= level[1:] != level[:-1]
+                same = goes_on and (np.int64(last[2]).view(np.uint64) >> np.uint64(bits)) == level[0]
+                begin[0] = not same
+                own = np.maximum.accumulate(np.where(begin, at, 0))
+                inner = np.where(np.maximum.accumulate(begin), rep[own], last[6 + i] if same else 0)
+                crowded = place >= CROWD
+                pairs.append((inner[crowded], rep[crowded]))
+                heads.append(int(inner[-1]))
+            last = [int(t[-1]), int(k[-1]), int(d[-1]), int(rep[-1]), int(place[-1]), *heads]
+            a, b = (np.concatenate(x) for x in zip(*pairs, strict=True))
+            unlike = a != b
+            a, b = np.minimum(a, b)[unlike], np.maximum(a, b)[unlike]
+            both = np.unique(np.stack([a, b], 1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), pa.nulls(len(both), pa.list_(pa.int64()))], schema=schema)
+        if first is not None:
+            ends = [*first, *last[:4], *last[5:]]
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([ends], pa.list_(pa.int64()))], schema=schema)
+
+    # The tasks' ends are written with the pairs, so that both come from one division into ranges.
+    found = common.cut(ordered.mapInArrow(run, "a long, b long, ends array<long>"))
+    e = lambda i: F.col("ends")[i]
+    order = Window.orderBy(e(0), e(1), e(2), e(3))  # a row for each task
+    was = [F.lag(e(4 + i)).over(order).alias(f"p{i}") for i in range(5 + len(LEVELS))]
+    seams = found.where("ends is not null").select(e(0).alias("t"), e(1).alias("k"), e(3).alias("rep"), *was).where("t = p0 and k = p1")
+    seams = seams.select("rep", F.explode(F.array(*[f"p{i}" for i in range(3, 5 + len(LEVELS))])).alias("other")).where("rep <> other")
+    seams = seams.select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b"))
+    return found.where("a is not null").select("a", "b").unionByName(seams).distinct()
 
 
 def plausible(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
@@ -204,12 +265,18 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     """(doc_id, n_shingles, component_id, kept) of every row of ``docs`` (doc_id, text; other columns are ignored).
 
     Rows with null, empty or blank text have no shingles and link with nothing. Repeated doc_ids give repeated rows of
-    one component. kept marks the document with the smallest id of its component. An empty table gives no rows.
+    one component. Rows without a doc_id (smaller than 2 ** 62) link like others, but never name a component while it has
+    any id: then component_id is null. kept marks the document with the smallest id of its component. An empty table gives
+    no rows.
     """
     threshold = percent / 100
+    # Without an id, a number made from the text stands in for it, above all ids.
+    stand_in = F.shiftrightunsigned(F.xxhash64("text"), 2).bitwiseOR(F.lit(NAMELESS))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = texts.select(F.coalesce("doc_id", stand_in).alias("doc_id"), "text")
     signed = common.cut(sign(texts, k, threshold))
-    reps = common.cut(classes(signed))
+    named = common.cut(classes(signed))
+    reps = named.select("rep", "n", "sig", "trees")
     pairs = common.cut(plausible(neighbours(reps), reps, threshold))
     groups = common.components(pairs)
     sized = groups.join(reps.select(F.col("rep").alias("id"), "n"), "id")
@@ -231,14 +298,20 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     large = members.where("small is null").select("id", "n", "component")
     if not large.isEmpty():
         done = done.unionByName(_large(texts, pairs, large, k, percent))
-    named = signed.join(reps_of(signed), "key", "left")
-    out = named.join(done.withColumnRenamed("id", "rep"), "rep", "left")
-    label = F.coalesce("component", "rep", "doc_id")
-    return out.select("doc_id", "n_shingles", label.alias("component_id"), (F.col("doc_id") == label).alias("kept"))
-
-
-def reps_of(signed: DataFrame) -> DataFrame:
-    return signed.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"))
+    labels = named.select("key", "rep", "copies").join(done.withColumnRenamed("id", "rep"), "rep", "left").select("key", "copies", F.coalesce("component", "rep").alias("label"))
+    out = labelled(signed.select("doc_id", "n_shingles", "key"), common.cut(labels))
+    label = F.coalesce("label", "doc_id")
+    named_ = lambda c: F.when(c < NAMELESS, c)
+    return out.select(named_(F.col("doc_id")).alias("doc_id"), "n_shingles", named_(label).alias("component_id"), (F.col("doc_id") == label).alias("kept"))
+
+
+def labelled(signed: DataFrame, labels: DataFrame) -> DataFrame:
+    """``signed`` with the label of its key. Keys with more than a HOT_KEYS-th of all rows, fewer than HOT_KEYS, are broadcast."""
+    total = labels.agg(F.sum("copies")).first()[0] or 0
+    hot = labels.where(F.col("copies") > F.lit(total / HOT_KEYS)).select("key", F.col("label").alias("hot_label"))
+    split = signed.join(F.broadcast(hot), "key", "left")
+    cold = split.where("hot_label is null").drop("hot_label").join(labels.select("key", "label"), "key", "left")
+    return split.where("hot_label is not null").withColumnRenamed("hot_label", "label").unionByName(cold)
 
 
 def _verified(texts: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:

@@ -240,6 +240,42 @@ def test_near_duplicates_of_odd_rows(spark, odd):
     assert forest.near_duplicates(odd.where("false"), 3, 85).count() == 0
 
 
+def test_near_duplicates_without_ids(spark):
+    a = " ".join(f"w{i}" for i in range(60))
+    data = [(None, a), (4, a), (5, a), (7, a.replace("w30", "x")), (None, "some words that only nameless rows hold"), (None, "some words that only nameless rows hold"), (None, None), (9, None)]
+    got = forest.near_duplicates(spark.createDataFrame(data, "doc_id long, text string"), 3, 85).collect()
+    assert sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in got) == [(0, 0, True), (0, 0, True), (0, 0, True), (0, 4, False), (4, 4, True), (5, 4, False), (7, 4, False), (9, 9, True)]
+
+
+def crowded(families=4, members=60, words=80):
+    """Families of texts around one text each, some of which differ from it in a few words, others hardly."""
+    rng = np.random.default_rng(17)
+    data, i = {}, 0
+    for f in range(families):
+        base = [f"f{f}w{x}" for x in rng.integers(0, 10_000, words)]
+        for _ in range(members):
+            own = list(base)
+            for p in rng.integers(0, words, rng.integers(0, 5)):
+                own[p] = f"z{i}-{p}"
+            data[i] = " ".join(own)
+            i += 1
+    return data
+
+
+@pytest.mark.parametrize(("partitions", "hot"), [(1, 2_000), (7, 3)])
+def test_near_duplicates_of_crowded_regions(spark, monkeypatch, partitions, hot):
+    data = crowded()
+    data |= {1_000 + i: data[3] for i in range(90)}
+    want = brute_components(data, 3, 85)
+    monkeypatch.setattr(forest, "HOT_KEYS", hot)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    df = spark.createDataFrame(list(data.items()), "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in forest.near_duplicates(df, 3, 85).collect()}
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got == want
+
+
 # --- op7
 
 
