@@ -1,7 +1,8 @@
 """Approximate nearest neighbours by cosine: a vantage-point tree for each shard.
 
-Vectors are dealt to shards by a hash of their ids; a task builds a shard's tree on unit vectors, whose distance grows
-as the cosine falls. Queries come in blocks and visit each shard's tree together. A child is skipped when the query's
+Vectors are dealt to shards by a hash of their ids; a task builds a shard's tree once on unit vectors, whose distance grows
+as the cosine falls, and then reads the queries, batch by batch: of a shard's rows its vectors come first. So a vector is
+moved once, and a task holds one shard and one batch of queries. A batch's queries visit the tree together. A child is skipped when the query's
 distance to the vantage point shows that it holds nothing nearer than the k-th neighbour so far: |d - mu| > tau by the
 triangle inequality. The bound is relaxed to |d - mu| > factor * tau: factor 1 restores exact search, smaller ones skip
 more. Scores are cosines in double precision of the vectors as they are.
@@ -12,14 +13,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
 
-#: Vectors of a shard and queries of a block, on average: the bounds of a task's memory.
-SHARD_ROWS, BLOCK_ROWS = 16_384, 4_096
+#: Vectors of a shard, on average, and queries that are searched together at most: the bounds of a task's memory.
+SHARD_ROWS, BLOCK_ROWS = 32_768, 4_096
 #: Vectors of a leaf.
 LEAF = 128
 #: Pairs of a query and a vector that are compared at once.
@@ -112,7 +113,6 @@ class Search:
         if not len(q):
             return
         exact = np.einsum("ij,ij->i", self.queries[q], self.vectors[c]) / (self.query_norms[q] * self.norms[c])
-        exact = np.clip(exact, -1.0, 1.0)
         touched = np.unique(q)
         old_q = np.repeat(touched, self.k)
         every_q = np.concatenate([q, old_q])
@@ -155,7 +155,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, factor: float =
     """(query_id, rank, vec_id, score): each query's ``k`` nearest of ``vectors``, itself (its id) left out.
 
     Both tables have an id and an array of numbers; other columns are ignored. Vectors that aren't ``usable``, or without
-    an id, take no part. All vectors must have one length. Equal scores go to the smaller id; rows that repeat an id
+    an id, take no part. Queries meet the vectors of their own length; the length with most vectors counts and, of
+    equal ones, the larger: other vectors take no part either. Equal scores go to the smaller id; rows that repeat an id
     count as one, the first by its vector. Fewer candidates than ``k`` give fewer rows, an empty table none.
     """
 
@@ -164,27 +165,49 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, factor: float =
         one = df.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).where(F.col("id").isNotNull() & usable(F.col("v")))
         return one.groupBy("id").agg(F.min("v").alias("v"))
 
+    spark = common.session(vectors)
+    common.bounded_batches(spark)
     every, asked = common.cut(prepared(vectors)), common.cut(prepared(queries))
-    shards = max(1, -(-every.count() // SHARD_ROWS))
-    blocks = max(1, -(-asked.count() // BLOCK_ROWS))
-    # A task holds a shard and a block; a stated set of queries meets all shards.
-    own = every.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    ask = asked.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-
-    def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
-        if not len(left) or not len(right):
-            return empty
-        left = left.sort_values("id")
-        ids, vectors_ = left["id"].to_numpy(np.int64), np.array(left["v"].tolist(), np.float64)
-        own = first_copies(vectors_, k)
-        ids, vectors_ = ids[own], vectors_[own]
-        tree = Tree(vectors_ / np.linalg.norm(vectors_, axis=1, keepdims=True))
-        found = Search(tree, ids, vectors_, np.array(right["v"].tolist(), np.float64), right["id"].to_numpy(np.int64), k, factor)
-        q, i, s = found.rows()
-        return pd.DataFrame({"query_id": q, "vec_id": i, "score": s})
-
-    found = own.groupBy("shard", "block").cogroup(ask.groupBy("shard", "block")).applyInPandas(search, "query_id long, vec_id long, score double")
+    sizes = every.groupBy(F.size("v").alias("length")).count().orderBy(F.desc("count"), F.desc("length")).first()
+    if sizes is None:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    length = F.size("v") == sizes["length"]
+    every, asked = every.where(length), asked.where(length)
+    shards = max(1, -(-sizes["count"] // SHARD_ROWS))
+    own = every.select(F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"), F.lit(0).alias("asks"), "id", "v")
+    # A stated set of queries meets all shards.
+    ask = asked.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("asks"), "id", "v")
+    tasks = min(shards, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    both = own.unionByName(ask).repartitionById(tasks, F.col("shard") % tasks)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, tree, held, ids, vectors_ = -1, None, [], None, None
+        for batch in batches:
+            numbers, asks = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+            cuts = np.flatnonzero(np.r_[True, (numbers[1:] != numbers[:-1]) | (asks[1:] != asks[:-1])]) if len(numbers) else []
+            for i, j in zip(cuts, [*cuts[1:], len(numbers)], strict=True):
+                if numbers[i] != shard:
+                    shard, tree, held = int(numbers[i]), None, []
+                key, lists = np.asarray(batch.column(2).slice(i, j - i)), batch.column(3).slice(i, j - i)
+                rows = np.asarray(lists.flatten()).reshape(j - i, -1)
+                if not asks[i]:
+                    held.append((key, rows))
+                    continue
+                if tree is None:
+                    if not held:
+                        continue
+                    ids, vectors_ = np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held])
+                    held = []
+                    order = np.argsort(ids, kind="stable")
+                    ids, vectors_ = ids[order], vectors_[order]
+                    first = first_copies(vectors_, k)
+                    ids, vectors_ = ids[first], vectors_[first]
+                    tree = Tree(vectors_ / np.linalg.norm(vectors_, axis=1, keepdims=True))
+                for x in range(0, len(key), BLOCK_ROWS):
+                    q, i_, score = Search(tree, ids, vectors_, rows[x : x + BLOCK_ROWS], key[x : x + BLOCK_ROWS], k, factor).rows()
+                    yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(i_, pa.int64()), pa.array(score, pa.float64())], names=["query_id", "vec_id", "score"])
+
+    found = both.sortWithinPartitions("shard", "asks").mapInArrow(search, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

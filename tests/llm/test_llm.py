@@ -473,7 +473,23 @@ def test_vantage_points_with_ties_and_odd_vectors(spark):
     assert got == [(1, 0), (2, 1), (3, 3), (4, 4), (5, 5)]
     few = vptree.nearest(df.where("vec_id in (1, 305)"), df.where("vec_id = 1"), 5).collect()
     assert [(r.vec_id, round(r.score, 6)) for r in few] == [(305, 0.707107)]
-    assert vptree.nearest(df.where("false"), df, 5).count() == 0
+    assert vptree.nearest(df.where("false"), df, 5).count() == vptree.nearest(df, df.where("false"), 5).count() == 0
+    ragged = df.union(spark.createDataFrame([(400, [1.0, 0.0, 0.0], 1, 1.0), (401, [], 1, 1.0)], df.schema))
+    assert [r.vec_id for r in vptree.nearest(ragged, ragged.where("vec_id in (2, 400)"), 5, factor=1.0).orderBy("rank").collect()] == [0, 1, 3, 4, 5]
+
+
+def test_vantage_points_over_many_shards(spark, monkeypatch):
+    monkeypatch.setattr(vptree, "SHARD_ROWS", 40)
+    monkeypatch.setattr(vptree, "BLOCK_ROWS", 7)
+    rng = np.random.default_rng(2)
+    table = [(i, [float(x) for x in rng.normal(size=8).astype("float32")]) for i in range(600)]
+    df = spark.createDataFrame([(*r, 0, 0) for r in table], "vec_id long, embedding array<float>, shard int, asks int")
+    asked = [i for i, _ in table if i % 10 == 0]
+    want = vptree.brute_force(table, asked, 5)
+    got = {}
+    for r in vptree.nearest(df, df.where("vec_id % 10 = 0"), 5, factor=1.0).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert got == {q: [i for i, _ in want[q]] for q in asked}
 
 
 # --- op5
