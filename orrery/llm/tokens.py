@@ -30,11 +30,52 @@ END_ID = 2
 GROUP_TOKENS, GROUP_DOCS = 1 << 20, 4_096
 PAGE_BYTES = 64 << 10
 #: Different pre-tokens that a worker remembers.
-CACHE = 600_000
+CACHE = 2_000_000
+#: New pre-tokens that go to the tokenizer in one string.
+JOINED = 128
 
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("local_start", pa.int64()), ("n_tokens", pa.int32()), ("ids", pa.list_(pa.field("element", pa.int32())))])
 
 
+class Table:
+    """An open-addressing hash table from 64-bit hashes to numbers, asked and filled by whole arrays."""
+
+    def __init__(self, bits: int = 16):
+        self.keys, self.values, self.mask, self.used = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.int32), (1 << bits) - 1, 0
+
+    def _place(self, h: np.ndarray) -> np.ndarray:
+        return (h >> np.uint64(17)).astype(np.int64) & self.mask
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The numbers of the hashes, -1 for those that aren't there."""
+        out = np.full(len(h), -1, np.int64)
+        left, at = np.arange(len(h)), self._place(h)
+        while len(left):
+            key = self.keys[at]
+            hit = key == h[left]
+            out[left[hit]] = self.values[at[hit]]
+            more = ~hit & (key != 0)
+            left, at = left[more], (at[more] + 1) & self.mask
+        return out
+
+    def add(self, h: np.ndarray, values: np.ndarray) -> None:
+        """Put in distinct hashes that aren't there."""
+        if (self.used + len(h)) * 2 > len(self.keys):
+            full = np.flatnonzero(self.keys)
+            old = self.keys[full], self.values[full]
+            self.__init__(int((self.used + len(h)) * 4).bit_length())
+            self.add(*old)
+        left, at = np.arange(len(h)), self._place(h)
+        while len(left):
+            free = np.flatnonzero(self.keys[at] == 0)
+            win = free[np.unique(at[free], return_index=True)[1]]
+            self.keys[at[win]], self.values[at[win]] = h[left[win]], values[left[win]]
+            more = np.ones(len(left), bool)
+            more[win] = False
+            left, at = left[more], (at[more] + 1) & self.mask
+        self.used += len(h)
+
+
 class Encoder:
     """Ids of many texts at a time, exactly those that the tokenizer gives for each whole text."""
 
@@ -48,10 +89,15 @@ class Encoder:
         pre = spec.get("pre_tokenizer") or {}
         self.split = spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and spec["model"]["type"] == "BPE" and not spec["model"].get("dropout")
         self.kind = np.full(0x110000, 255, np.uint8)
+        # Words with a blank before them can go to the tokenizer end to end: ids that begin with the blank part them again.
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.blank = np.zeros(max(vocabulary.values(), default=-1) + 1, bool)
+        self.blank[[i for t, i in vocabulary.items() if t.startswith("\u0120")]] = True
+        self.join = all(any(c != " " and not c.isalpha() for c in t.decode()) for t in self.added)
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[int, int] = {}
+        self.known = Table()
         self.flat = np.zeros(1 << 16, np.int32)
         self.at = np.zeros(1 << 14, np.int64)
         self.n = np.zeros(1 << 14, np.int32)
@@ -126,6 +172,42 @@ class Encoder:
                 ids[i] = found
         return np.concatenate([np.zeros(0, np.int32), *ids]), np.array([len(x) for x in ids], np.int64)
 
+    def _new(self, whole: str, points: np.ndarray, b: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids end to end, how many each has) of the pre-tokens ``whole[b:e]``."""
+        plain = np.zeros(len(b), bool)
+        if self.join:
+            plain = (points[b] == 32) & (e - b > 1)
+            plain[plain] = self.kind[points[b[plain] + 1]] == 1
+        sizes, parts, order = np.zeros(len(b), np.int64), [], []
+        own = np.flatnonzero(plain)
+        if len(own):
+            n = e[own] - b[own]
+            ends = np.cumsum(n)
+            text = points[np.arange(ends[-1]) + np.repeat(b[own] - (ends - n), n)].tobytes().decode("utf-32-le")
+            cuts = [0, *ends[JOINED - 1 : -1 : JOINED].tolist(), int(ends[-1])]
+            found = self.tokenizer.encode_batch_fast([text[i:j] for i, j in zip(cuts[:-1], cuts[1:], strict=True)], add_special_tokens=False)
+            ids = np.concatenate([np.array(x.ids, np.int32) for x in found])
+            first = np.flatnonzero(self.blank[ids])
+            if len(first) == len(own) and first[0] == 0:
+                sizes[own] = np.diff(np.r_[first, len(ids)])
+                parts.append(ids)
+                order.append(own)
+            else:  # a tokenizer whose blanks don't stay apart
+                self.join, plain = False, np.zeros(len(b), bool)
+        rest = np.flatnonzero(~plain)
+        if len(rest):
+            made = [x.ids for x in self.tokenizer.encode_batch_fast([whole[i:j] for i, j in zip(b[rest].tolist(), e[rest].tolist(), strict=True)], add_special_tokens=False)]
+            sizes[rest] = [len(x) for x in made]
+            parts.append(np.array([x for y in made for x in y], np.int32))
+            order.append(rest)
+        # Back into the order of the pre-tokens.
+        order_ = np.concatenate(order)
+        flat = np.concatenate(parts)
+        begun = np.zeros(len(b), np.int64)
+        begun[order_] = np.cumsum(sizes[order_]) - sizes[order_]
+        ends = np.cumsum(sizes)
+        return flat[np.arange(len(flat)) + np.repeat(begun - (ends - sizes), sizes)], sizes
+
     def _cached(self, raw: bytes, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """``encode`` of texts without added tokens, by pre-tokens."""
         whole = raw.decode()
@@ -141,28 +223,26 @@ class Encoder:
         total = np.zeros(n + 1, np.uint64)
         np.cumsum(common.mix(points.astype(np.uint64) + np.uint64(99)) * p[:n], out=total[1:])
         h = common.mix((total[end] - total[start]) * q[start] + (end - start).astype(np.uint64))
-        known, first, which = np.unique(h, return_index=True, return_inverse=True)
-        if len(self.known) > CACHE:
+        h[h == 0] = 1
+        if self.known.used > CACHE:
             self._forget()
-        place = list(map(self.known.get, keys := known.tolist()))
-        new = [i for i, x in enumerate(place) if x is None]
-        if new:
-            b, e = start[first[new]].tolist(), end[first[new]].tolist()
-            made = [x.ids for x in self.tokenizer.encode_batch_fast([whole[i:j] for i, j in zip(b, e, strict=True)], add_special_tokens=False)]
-            base = len(self.known)
-            sizes = np.array([len(x) for x in made], np.int32)
+        slot = self.known.find(h)
+        missing = np.flatnonzero(slot < 0)
+        if len(missing):
+            new, first, which = np.unique(h[missing], return_index=True, return_inverse=True)
+            b, e = start[missing[first]], end[missing[first]]
+            base = self.known.used
+            ids, sizes = self._new(whole, points, b, e)
             while base + len(new) > len(self.n):
                 self.at, self.n = np.concatenate([self.at, self.at]), np.concatenate([self.n, self.n])
-            while self.used + sizes.sum() > len(self.flat):
+            while self.used + len(ids) > len(self.flat):
                 self.flat = np.concatenate([self.flat, self.flat])
             self.n[base : base + len(new)] = sizes
             self.at[base : base + len(new)] = self.used + np.cumsum(sizes) - sizes
-            self.flat[self.used : self.used + sizes.sum()] = [x for y in made for x in y]
-            self.used += int(sizes.sum())
-            for k, i in enumerate(new, base):
-                self.known[keys[i]] = k
-                place[i] = k
-        slot = np.array(place, np.int64)[which]
+            self.flat[self.used : self.used + len(ids)] = ids
+            self.used += len(ids)
+            self.known.add(new, np.arange(base, base + len(new), dtype=np.int32))
+            slot[missing] = base + which
         counts = self.n[slot].astype(np.int64)
         ends = np.cumsum(counts)
         out = self.flat[np.arange(ends[-1]) + np.repeat(self.at[slot] - (ends - counts), counts)]

@@ -395,11 +395,39 @@ def tokenizer():
 @given(st.lists(st.text(alphabet="'strevmldaB1é中 \n\t!<|endoft> 　²́\r😀", max_size=16), min_size=1, max_size=8))
 @settings(max_examples=150, deadline=None)
 def test_encoder_is_that_of_the_library(tokenizer, texts):
-    e = tokens.encoder(open(tokenizer).read())
-    ids, per = e.encode(*parts(texts))
+    from tokenizers import Tokenizer
+
+    fresh = Tokenizer.from_file(tokenizer)
+    ids, per = tokens.encoder(open(tokenizer).read()).encode(*parts(texts))
     ends = np.cumsum(per)
     for t, a, b in zip(texts, ends - per, ends, strict=True):
-        assert ids[a:b].tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids
+        assert ids[a:b].tolist() == fresh.encode(t, add_special_tokens=False).ids
+
+
+def test_encoder_of_many_words(docs, tokenizer, monkeypatch):
+    """Whole documents, with a cache that is forgotten now and then."""
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(tokens, "CACHE", 3_000)
+    fresh, e = Tokenizer.from_file(tokenizer), tokens.Encoder(open(tokenizer).read())
+    texts = [r.text for r in docs.select("text").collect()]
+    for i in range(0, len(texts), 20):
+        ids, per = e.encode(*parts(texts[i : i + 20]))
+        ends = np.cumsum(per)
+        for t, a, b in zip(texts[i : i + 20], ends - per, ends, strict=True):
+            assert ids[a:b].tolist() == fresh.encode(t, add_special_tokens=False).ids
+
+
+@given(st.lists(st.integers(1, 400), max_size=300))
+@settings(max_examples=40, deadline=None)
+def test_table(keys):
+    table, want = tokens.Table(2), {}
+    for i in range(0, len(keys), 30):
+        part = np.array(keys[i : i + 30], np.uint64) << np.uint64(40)
+        assert table.find(part).tolist() == [want.get(x, -1) for x in part.tolist()]
+        new = np.array([x for x in np.unique(part).tolist() if x not in want], np.uint64)
+        table.add(new, np.arange(len(want), len(want) + len(new), dtype=np.int32))
+        want |= {x: len(want) + j for j, x in enumerate(new.tolist())}
 
 
 @given(st.lists(st.lists(st.sampled_from(["<|endoftext|>", "<|endoftext", "|>", " ", "\n", "it's", "é", "中", "12", ""]), max_size=6).map("".join), min_size=1, max_size=8))
