@@ -14,7 +14,43 @@ from .register import query, with_
 NE = with_("nodes", "edges")
 N = with_("nodes")
 E = with_("edges")
-TEST = r"regexp_matches(path, '(^|/)(tests?|spec|__tests__)/|(^|/)test_[^/]*$|[^/]*(_test|\.test|\.spec)\.[A-Za-z0-9]+$')"
+def _test(path: str = "path") -> str:
+    """DuckDB's reason for a test path."""
+    return rf"""(CASE
+  WHEN regexp_matches({path}, '(^|/)(test_|spec_)[^/]*$') OR regexp_matches({path}, '(?i)(^|/)test-[^/]*$') OR regexp_matches({path}, '(?i)[_.](test|spec)[.][^/]*$') THEN 'test'
+  WHEN regexp_matches({path}, '(?i)(^|/)(tests[.]py|tests[.]rs|testonly[.]rs)$') OR regexp_matches({path}, '(?i)[.]test-d[.]tsx?$') OR regexp_matches({path}, 'Tests[.]swift$') OR regexp_matches({path}, '(Tests?|IT)[.](java|kt|scala)$') THEN 'test'
+  WHEN regexp_matches({path}, '(?i)(^|/)(mock|fake)_[^/]*$') OR regexp_matches({path}, '(?i)_(mock|fake)([.][^./]*)?$') THEN 'mock'
+  ELSE coalesce(list_filter(list_transform(string_split(lower({path}), '/'), lambda p: CASE
+    WHEN p IN ('tests', 'test', 't', '__tests__', 'testing', 'testsuite') THEN 'test' WHEN p IN ('fakes', 'mocks', 'testfakes', 'testmocks') THEN 'mock' WHEN p IN ('fixtures', 'testdata', 'testfixtures') THEN 'fixture'
+    WHEN p IN ('testutils', 'testutil', 'testhelper', 'testhelpers', 'fv', 'harnesses') THEN 'test_support' WHEN p IN ('bench', 'benches', 'benchmark', 'benchmarks') THEN 'benchmark'
+    WHEN regexp_matches(p, '(fakes|mocks)$') THEN 'mock' WHEN regexp_matches(p, '^(test-|testsuite)') THEN 'test' END), lambda r: r IS NOT NULL)[1],
+    CASE WHEN regexp_matches({path}, '(?i)(^|/)(inttest|integrationtest|unittest|src/integration)/') OR regexp_matches({path}, '(?i)^spec(/|$)') THEN 'test' END) END)"""
+
+
+TEST = f"({_test()} IS NOT NULL)"
+# Folders and files of which the paths of parts are made, so that every rule meets rows.
+FOLDERS = (
+    "src", "t/x", "pkg/Mocks", "transportfakes", "lib/fixtures/a", "testdata", "core/testutil", "benches", "test-artifacts/q", "testsuite-providers", "app/intTest/java", "src/integration",
+    "spec/models", "airflow/listeners/spec", "docs", "a/b/unitTest/c", "Harnesses", "contest", "latest", "src/integrations",
+)
+FILES = (
+    "main.py", "test_main.py", "test-reach.c", "a_test.go", "main.test.js", "spec_helper.rb", "x.spec.ts", "x_spec.rb", "tests.rs", "testonly.rs", "tests.py", "types.test-d.ts", "RouteTests.swift",
+    "TestHelpers.swift", "FooTest.java", "FooIT.kt", "TestConfig.java", "db_mock.go", "fake_clock.rs", "mocked.py", "tests", "bench", "contest.py", "Test_Main.py", "protest.md",
+)
+_LIST = lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + "]"
+_PATHS = f"SELECT p_partkey, {_LIST(FOLDERS)}[1 + p_partkey % {len(FOLDERS)}] || '/' || {_LIST(FILES)}[1 + (p_partkey // {len(FOLDERS)}) % {len(FILES)}] AS path, p_size % 7 AS mark FROM part"
+_MARKS = "(CASE mark WHEN 0 THEN 'test' WHEN 1 THEN 'Fact' WHEN 2 THEN 'cfg(test)' WHEN 3 THEN 'cfg(unix)' WHEN 4 THEN 'Override' END IN ('test', 'Fact', 'cfg(test)'))"
+
+
+def _annotated_paths(spark, d):
+    """(p_partkey, path, annotations) of the parts."""
+    k = F.col("p_partkey")
+    pick = lambda xs, i: F.element_at(F.array(*map(F.lit, xs)), (1 + i % len(xs)).cast("int"))
+    path = F.concat(pick(FOLDERS, k), F.lit("/"), pick(FILES, F.floor(k / len(FOLDERS))))
+    a = lambda name, *args: F.array(F.struct(F.lit(name).alias("name"), F.array(*map(F.lit, args)).cast("array<string>").alias("args")))
+    mark = F.col("p_size") % 7
+    annotations = F.when(mark == 0, a("test")).when(mark == 1, a("Fact")).when(mark == 2, a("cfg", "test")).when(mark == 3, a("cfg", "unix")).when(mark == 4, a("Override"))
+    return load(spark, d, "part").select(k, path.alias("path"), annotations.alias("annotations"))
 DEGREE = """, i AS (SELECT dst AS id, count(*) AS in_degree FROM edges GROUP BY 1), o AS (SELECT src AS id, count(*) AS out_degree FROM edges GROUP BY 1),
 ranked AS (SELECT n.*, coalesce(in_degree, 0) AS in_degree, coalesce(out_degree, 0) AS out_degree, 2 * coalesce(in_degree, 0) + coalesce(out_degree, 0) AS centrality
            FROM nodes n LEFT JOIN i USING (id) LEFT JOIN o USING (id)) """
@@ -236,6 +272,20 @@ def key_symbols(spark, d):
     return nodes(spark, d).where(filters.is_key_symbol(F.col("kind"), F.col("path"), F.col("name"), F.col("tier"))).select("id")
 
 
+@query("test_reasons", "F4", "X21", sql=f"SELECT p_partkey, path, {_test()} AS reason, {TEST} OR coalesce({_MARKS}, false) AS is_test FROM ({_PATHS})")
+def test_reasons(spark, d):
+    p = _annotated_paths(spark, d)
+    return p.select("p_partkey", "path", filters.test_reason(F.col("path")).alias("reason"), filters.is_test_node(F.col("path"), F.col("annotations")).alias("is_test"))
+
+
+@query("annotated_production_edges", "F6", "F7", sql=f"""
+WITH n AS (SELECT concat('part:', p_partkey) AS id, {TEST} OR coalesce({_MARKS}, false) AS is_test FROM ({_PATHS}))
+SELECT DISTINCT concat('part:', l_partkey) AS src, concat('supplier:', l_suppkey) AS dst FROM lineitem WHERE concat('part:', l_partkey) NOT IN (SELECT id FROM n WHERE is_test)""")
+def annotated_production_edges(spark, d):
+    n = _annotated_paths(spark, d).withColumn("id", F.concat(F.lit("part:"), "p_partkey"))
+    return filters.production_edges(n, edges(spark, d, "depends_on")).select("src", "dst")
+
+
 @query("production_edges", "F7", "J29", sql=NE + f"SELECT type, count(*) AS n FROM edges WHERE src NOT IN (SELECT id FROM nodes WHERE {TEST}) GROUP BY type")
 def production_edges(spark, d):
     return filters.production_edges(nodes(spark, d), edges(spark, d)).groupBy("type").agg(F.count("*").alias("n"))

@@ -197,13 +197,23 @@ def url_joins(spark, d):
     return load(spark, d, "part").select("p_partkey", names.fold_join(items, "/").alias("url"))
 
 
-@query("process_files", "F12", "F16", sql="""
-SELECT n_nationkey, n_nationkey % 4 IN (0, 1) AS process, n_nationkey % 2 = 0 AS mentions FROM nation""")
+_PROCESS_FILES = (
+    "docs/LICENSE-MIT.txt", "Change_Log.md", "security-model.md", "src/authors_list.py", "security.yaml", "authors.py", "COPYING.LESSER", "CODE OF CONDUCT", "code-of-conduct.rst", "NEWS", "docs/license-server-protocol.md",
+    "licence_apache", "releaseNotes.md", "Release-Notes.adoc", "HISTORY.txt", "CONTRIBUTING.md", "thanksgiving.md", "changelog-", "CHANGELOG-2.x", "notice.json",
+)
+
+
+@query("process_files", "F12", "F16", sql=f"""
+WITH p AS (SELECT p_partkey, [{", ".join(f"'{x}'" for x in _PROCESS_FILES)}][1 + p_partkey % {len(_PROCESS_FILES)}] AS path FROM part),
+n AS (SELECT *, lower(string_split(path, '/')[-1]) AS file FROM p),
+s AS (SELECT *, replace(replace(replace(string_split(file, '.')[1], '-', ''), '_', ''), ' ', '') AS joined, string_split(file, '.')[1] AS name FROM n)
+SELECT p_partkey, path, NOT regexp_matches(file, '[.](py|yaml|json)$') AND (joined IN ('contributing', 'codeofconduct', 'changelog', 'copying', 'news', 'releasenotes', 'history', 'notice') AND name NOT LIKE '%-' OR regexp_matches(name, '^(licen[sc]e|copying|changelog)[-_][a-z0-9+.]+$')) AS process,
+       p_partkey % 2 = 0 AS mentions FROM s""")
 def process_files(spark, d):
-    k = F.col("n_nationkey")
-    path = F.when(k % 4 == 0, "docs/LICENSE-MIT.txt").when(k % 4 == 1, "Change_Log.md").when(k % 4 == 2, "security-model.md").otherwise("src/authors_list.py")
+    k = F.col("p_partkey")
+    path = F.element_at(F.array(*map(F.lit, _PROCESS_FILES)), (1 + k % len(_PROCESS_FILES)).cast("int"))
     mentions = F.concat(F.lit("import "), F.when(k % 2 == 0, "loader").otherwise("loaders")).rlike(r"\bloader\b")
-    return load(spark, d, "nation").select("n_nationkey", names.is_process_file(path).alias("process"), mentions.alias("mentions"))
+    return load(spark, d, "part").select("p_partkey", path.alias("path"), names.is_process_file(path).alias("process"), mentions.alias("mentions"))
 
 
 @query("arity_bounds", "X17", "F14", sql="""
