@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -38,6 +38,22 @@ def mask(text: Column, item: str, reference: str) -> Column:
     return F.regexp_replace(F.regexp_replace(text, item, "ITEM"), reference, "REF")
 
 
+def find_items(docs: DataFrame, item: str, skip: Column) -> DataFrame:
+    """(doc_id, item, begin, end) of every match of ``item`` in ``docs`` (doc_id, text), in characters from 0.
+
+    ``skip``: array<struct<begin, end>>; matches that touch one of these ranges are left out. What lies between matches gives
+    their places, so that the regular expression runs in the JVM; sums over a text's matches are one row's work.
+    """
+    found = docs.select("doc_id", F.split("text", item, -1).alias("gaps"), F.regexp_extract_all("text", F.lit(f"({item})"), 1).alias("items"))
+    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<long>").alias("begins"))
+    step = lambda acc, x: F.struct((acc["at"] + F.length(x["gap"]) + F.length(x["item"])).alias("at"), F.concat(acc["begins"], F.array(acc["at"] + F.length(x["gap"]))).alias("begins"))
+    pairs = F.zip_with(F.slice("gaps", 1, F.size("items")), "items", lambda g, i: F.struct(g.alias("gap"), i.alias("item")))
+    placed = found.where(F.size("items") > 0).withColumn("begins", F.aggregate(pairs, zero, step, lambda acc: acc["begins"]))
+    rows = placed.select("doc_id", F.explode(F.arrays_zip("items", "begins")).alias("x")).select("doc_id", F.col("x.items").alias("item"), F.col("x.begins").alias("begin"))
+    rows = rows.withColumn("end", F.col("begin") + F.length("item"))
+    return rows.where(~F.exists(skip, lambda r: (F.col("end") > r["begin"]) & (F.col("begin") < r["end"])))
+
+
 def estimate_tokens(text: Column) -> Column:
     """A quarter of the characters, rounded up; 0 for none."""
     return F.when(F.coalesce(F.length(text), F.lit(0)) == 0, 0).otherwise(F.greatest(F.lit(1), F.ceil(F.length(text) / 4))).cast("long")

@@ -1,7 +1,7 @@
 """Bounded reachability, components and fixpoints as loops of joins.
 
 A round joins only the frontier with the edges and drops what earlier rounds have seen. Each round is written to the folder
-in spark.checkpoint.dir (one of our own where it is unset), so that lineage stays short and a lost executor costs one round;
+in spark.checkpoint.dir (one of our own where it is unset and the master is local), so that lineage stays short and a lost executor costs one round;
 only counts reach the driver. Labels (roots, taints) ride along in the key, so many sources walk in one loop.
 """
 
@@ -22,7 +22,10 @@ def cut(df: DataFrame) -> DataFrame:
     spark: SparkSession = df.sparkSession
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="orrery-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="orrery-"))
     return df.checkpoint(eager=True)
 
 
@@ -132,27 +135,31 @@ def unreachable(nodes: DataFrame, roots: DataFrame, edges: DataFrame, max_hops:
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(id, component) of the ends of ``edges`` (a, b): component is the smallest id of its part.
+    """(id, component) of the ends of ``edges`` (a, b) of any type: component is the smallest id of its part.
 
-    Large-star and small-star rounds: links are moved to smaller neighbours until every node points at its part's least.
+    Contraction: in each round every node joins its neighbour of the least rank, ranks being hashes that change from round to
+    round, edges are renamed and loops dropped. So the nodes left fall by a constant factor, whatever the part's diameter.
     """
-    e = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    for _ in range(most_rounds):
-        both = e.union(e.select("b", "a")).toDF("u", "v")
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
-        large = large.where("a <> b").distinct()
-        small = large.groupBy("a").agg(F.min("b").alias("m"))
-        star = large.join(small, "a").select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.*").where("a <> b").distinct()
-        star = cut(star)
-        same = star.count() == e.count() and star.join(e, ["a", "b"], "left_anti").isEmpty()
-        e = star
-        if same:
+    e = cut(edges.where("a <> b").select("a", "b").distinct())
+    members = None
+    for k in range(most_rounds):
+        if e.isEmpty():
             break
+        rank = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(k)).alias("h"), F.col(c).alias("v"))
+        both = e.union(e.select("b", "a")).toDF("v", "w").groupBy("v").agg(F.min(rank("w")).alias("m"))
+        parent = cut(both.select("v", F.when(F.col("m") < rank("v"), F.col("m.v")).otherwise(F.col("v")).alias("p")))
+        if members is None:
+            members = parent.toDF("id", "root")
+        else:
+            members = cut(members.join(parent.toDF("root", "up"), "root", "left").select("id", F.coalesce("up", "root").alias("root")))
+        e = e.join(parent.toDF("a", "pa"), "a").join(parent.toDF("b", "pb"), "b").where("pa <> pb")
+        e = cut(e.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct())
     else:
         raise RuntimeError("components did not settle")
-    roots = e.select("b").distinct().select(F.col("b").alias("id"), F.col("b").alias("component"))
-    return e.select(F.col("a").alias("id"), F.col("b").alias("component")).union(roots).distinct()
+    if members is None:
+        return edges.select(F.col("a").alias("id"), F.col("a").alias("component")).where(F.lit(False))
+    least = members.groupBy("root").agg(F.min("id").alias("component"))
+    return members.join(least, "root").select("id", "component")
 
 
 def fixpoint(seeds: DataFrame, step, most_rounds: int = 100) -> DataFrame:

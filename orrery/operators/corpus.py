@@ -1,7 +1,6 @@
 """Document frequencies, tf-idf, BM25 and neighbour ranking over term rows.
 
-Terms are (doc, term) rows; counts are taken before any join, and a join on terms reaches only the terms that stay in the
-vocabulary, whose document frequency is bounded by ``max_df``.
+Terms are (doc, term) rows; counts are taken before any join.
 """
 
 from __future__ import annotations
@@ -42,25 +41,14 @@ def bm25(counts: DataFrame, query: DataFrame, n_docs: int, average: float, k1: f
     return hit.join(F.broadcast(df.select("term", "idf")), "term").groupBy("id").agg(F.sum(part).alias("score"))
 
 
-def neighbours(vectors: DataFrame, k: int) -> DataFrame:
-    """(id, other, cosine, rank): the ``k`` nearest by shared terms, ties by id.
-
-    ``vectors`` must come from a vocabulary cut by document frequency: a term joins its documents with each other.
-    """
-    a, b = vectors.toDF("id", "term", "wa"), vectors.toDF("other", "term", "wb")
-    score = a.join(b, "term").where("id <> other").groupBy("id", "other").agg(F.round(F.sum(F.col("wa") * F.col("wb")), 9).alias("cosine"))
-    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("cosine"), "other"))
-    return score.withColumn("rank", rank).where(F.col("rank") <= k)
-
-
 #: Documents of a block, and columns of terms that are multiplied at once.
 BLOCK, STRIP = 1_024, 4_096
 
 
-def neighbours_of_all(vectors: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
-    """``neighbours`` for any vocabulary: blocks of documents are multiplied, so that no term joins its documents.
+def neighbours(vectors: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
+    """(id, other, cosine, rank): the ``k`` nearest of (id, term, w) by cosine, ties by id; only texts that share a term count.
 
-    The work grows with the square of the documents. ``vectors`` must be materialised.
+    Blocks of documents are multiplied, so that no frequent term joins its documents with each other. The work grows with the square of the documents. ``vectors`` must be materialised.
     """
     ids = vectors.select("id").distinct()
     n = -(-ids.count() // block) or 1

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .closure import fixpoint, reach
+from .closure import BROADCAST_ROWS, cut, fixpoint, reach
 
 
 def propagate(sources: DataFrame, edges: DataFrame, sanitizers: DataFrame, max_hops: int, stops: DataFrame | None = None) -> DataFrame:
@@ -14,21 +14,25 @@ def propagate(sources: DataFrame, edges: DataFrame, sanitizers: DataFrame, max_h
     sources: id, label; sanitizers: id, label. A node may be reached both ways and has then two rows. ``stops`` (id) are
     entered and not followed, unless they are sources.
     """
-    san = sanitizers.select("id", "label", F.lit(True).alias("s"))
-    links = edges.select("src", "dst").distinct()
+    san = sanitizers.select("id", "label", F.lit(True).alias("s")).distinct()
+    links = cut(edges.select("src", "dst").distinct())
     blocked = stops.join(sources.select("id"), "id", "left_anti") if stops is not None else None
 
     def marked(rows: DataFrame) -> DataFrame:
-        return rows.join(san, ["id", "label"], "left").select("id", "label", (F.col("sanitized") | F.coalesce("s", F.lit(False))).alias("sanitized"), "depth")
-
-    def step(fresh: DataFrame) -> DataFrame:
-        goes = fresh.where(F.col("depth") < max_hops)
-        if blocked is not None:
-            goes = goes.join(blocked, "id", "left_anti")
-        return marked(goes.join(links, goes["id"] == links["src"]).select(F.col("dst").alias("id"), "label", "sanitized", (F.col("depth") + 1).alias("depth")))
-
-    start = marked(sources.select("id", "label", F.lit(False).alias("sanitized"), F.lit(0).alias("depth")))
-    return fixpoint(start, step, max_hops + 2).select("id", "label", "sanitized").distinct()
+        return rows.join(san, ["id", "label"], "left").select("id", "label", (F.col("sanitized") | F.coalesce("s", F.lit(False))).alias("sanitized"))
+
+    # A level of the walk a round: what comes again at a later level leads nowhere new.
+    seen = frontier = cut(marked(sources.select("id", "label", F.lit(False).alias("sanitized"))).distinct())
+    for _ in range(max_hops):
+        size = frontier.count()
+        if not size:
+            break
+        goes = frontier if blocked is None else frontier.join(blocked, "id", "left_anti")
+        goes = F.broadcast(goes) if size <= BROADCAST_ROWS else goes
+        step = goes.join(links, goes["id"] == links["src"]).select(F.col("dst").alias("id"), "label", "sanitized").distinct()
+        frontier = cut(marked(step).distinct().join(seen, ["id", "label", "sanitized"], "left_anti"))
+        seen = seen.unionByName(frontier)
+    return seen
 
 
 def walk_verdicts(flows: DataFrame, walks: DataFrame) -> DataFrame:

@@ -28,21 +28,13 @@ def tier_slice(spark, d):
     return closure.slice_graph(n.where("id = 'region:1'"), n, edges(spark, d), 4, max_tier=2, drop=filters.is_test_path(F.col("path")), min_confidence=0.95)
 
 
-@query("dependent_files", "G1", sql=NE + _walk("SELECT id, 0 FROM nodes WHERE path = 'supplier/6/supplier_3.py' OR path LIKE 'brand_7/small%'", 1, "SELECT DISTINCT dst AS src, src AS dst FROM edges") + "SELECT DISTINCT path FROM r JOIN nodes n ON n.id = r.id")
-def dependent_files(spark, d):
-    n = nodes(spark, d)
-    seeds = n.where("path = 'supplier/6/supplier_3.py' or path like 'brand_7/small%'")
-    found = closure.reach(seeds, closure.reverse(edges(spark, d)), 1)
-    return found.join(n.select("id", "path"), "id").select("path").distinct()
-
-
 _CHANGED = "path = 'supplier/6/supplier_3.py' OR path LIKE 'brand_7/small%' OR path LIKE 'orders/F/1%'"
 _DIFFERING = "path = 'supplier/6/supplier_3.py' OR path LIKE '%/supplier_4.py' OR path LIKE 'orders/O/2%'"
 _BACK = "SELECT DISTINCT dst AS src, src AS dst FROM edges"
 
 
-@query("all_dependent_files", "G1", sql=NE + _walk(f"SELECT id, 0 FROM nodes WHERE {_CHANGED}", 9, _BACK) + "SELECT DISTINCT path FROM r JOIN nodes n ON n.id = r.id")
-def all_dependent_files(spark, d):
+@query("dependent_files", "G1", sql=NE + _walk(f"SELECT id, 0 FROM nodes WHERE {_CHANGED}", 9, _BACK) + "SELECT DISTINCT path FROM r JOIN nodes n ON n.id = r.id")
+def dependent_files(spark, d):
     n = nodes(spark, d)
     return closure.dependent_files(n, edges(spark, d), n.where(_CHANGED))
 
@@ -84,22 +76,6 @@ def handler_slices(spark, d):
     return closure.reach(seeds, edges(spark, d, "contains", "calls"), 2, key=("id", "root")).groupBy("root").agg(F.count("*").alias("size"), F.max("depth").alias("deepest"))
 
 
-@query("connected_components", "G10", sql=E + """
-, l AS (SELECT src AS a, dst AS b FROM edges WHERE type = 'contains' AND src LIKE 'nation:%'), both_ AS (SELECT a, b FROM l UNION SELECT b, a FROM l), w(id, c) AS (SELECT a, a FROM both_ UNION SELECT b, c FROM w JOIN both_ ON a = w.id)
-SELECT id, min(c) AS component FROM w GROUP BY id""")
-def connected_components(spark, d):
-    e = edges(spark, d, "contains").where("src like 'nation:%'")
-    return closure.components(e.select(F.col("src").alias("a"), F.col("dst").alias("b")))
-
-
-@query("component_sizes", "G10", sql="""
-WITH RECURSIVE l AS (SELECT DISTINCT o_custkey % 300 AS a, 1000 + o_orderkey % 200 AS b FROM orders WHERE o_orderkey % 11 = 0 AND o_totalprice > 250000), both_ AS (SELECT a, b FROM l UNION SELECT b, a FROM l), w(id, c) AS (SELECT a, a FROM both_ UNION SELECT b, c FROM w JOIN both_ ON a = w.id), m AS (SELECT id, min(c) AS component FROM w GROUP BY id)
-SELECT component, count(*) AS size FROM m GROUP BY 1""")
-def component_sizes(spark, d):
-    o = load(spark, d, "orders").where("o_orderkey % 11 = 0 and o_totalprice > 250000")  # a sparse graph, with several parts
-    return closure.components(o.select((F.col("o_custkey") % 300).alias("a"), (1000 + F.col("o_orderkey") % 200).alias("b"))).groupBy("component").agg(F.count("*").alias("size"))
-
-
 #: Least labels spread along the edges; a node's label is replaced, so that rows stay as many as nodes.
 _LEAST = E + """
 , both_ AS (SELECT DISTINCT src AS a, dst AS b FROM edges UNION SELECT dst, src FROM edges), w(id, c) USING KEY (id) AS (SELECT DISTINCT a, a FROM both_ UNION SELECT b, min(w.c) FROM w JOIN both_ ON a = w.id JOIN recurring.w AS k ON k.id = b WHERE w.c < k.c GROUP BY b)
@@ -110,13 +86,13 @@ def _whole_graph(spark, d):
     return closure.components(edges(spark, d).select(F.col("src").alias("a"), F.col("dst").alias("b")))
 
 
-@query("graph_components", "G10", sql=_LEAST + "SELECT id, c AS component FROM w")
-def graph_components(spark, d):
+@query("connected_components", "G10", sql=_LEAST + "SELECT id, c AS component FROM w")
+def connected_components(spark, d):
     return _whole_graph(spark, d)
 
 
-@query("graph_component_sizes", "G10", sql=_LEAST + "SELECT c AS component, count(*) AS size FROM w GROUP BY 1")
-def graph_component_sizes(spark, d):
+@query("component_sizes", "G10", sql=_LEAST + "SELECT c AS component, count(*) AS size FROM w GROUP BY 1")
+def component_sizes(spark, d):
     return _whole_graph(spark, d).groupBy("component").agg(F.count("*").alias("size"))
 
 

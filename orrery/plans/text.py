@@ -39,11 +39,24 @@ def utc_days(spark, d):
     return ops(spark, d).groupBy(text.utc_day(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")).alias("day")).agg(F.count("*").alias("n"))
 
 
-@query("masked_text", "P15", "X15", sql=r"""
-SELECT doc_id, md5(regexp_replace(regexp_replace(text, '[A-Z][a-z]+-[0-9]+', 'ITEM', 'g'), '\b[Tt]h[a-z]{2}\b', 'REF', 'g')) AS digest, len(regexp_extract_all(text, '\b[Tt]h[a-z]{2}\b'))::INT AS refs FROM documents WHERE lang = 'en'""")
+#: Words by their own borders, since engines differ on \\b.
+_ITEM, _REFERENCE = r"[A-Z][a-z]+-[0-9]+", r"(?<![\p{L}\p{N}_])[Tt]h[a-z]{2}(?![\p{L}\p{N}_])"
+
+
+@query("masked_text", "P15", sql=r"""
+WITH t AS (SELECT doc_id, regexp_extract_all(regexp_replace(text, '[A-Z][a-z]+-[0-9]+', 'ITEM', 'g'), '[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+') AS words FROM documents)
+SELECT doc_id, md5(array_to_string(list_transform(words, lambda w: CASE WHEN regexp_full_match(w, '[Tt]h[a-z]{2}') THEN 'REF' ELSE w END), '')) AS digest FROM t""")
 def masked_text(spark, d):
-    docs = load(spark, d, "documents").where("lang = 'en'")
-    return docs.select("doc_id", F.md5(text.mask(F.col("text"), r"[A-Z][a-z]+-[0-9]+", r"\b[Tt]h[a-z]{2}\b").cast("binary")).alias("digest"), F.size(F.regexp_extract_all("text", F.lit(r"\b([Tt]h[a-z]{2})\b"), 1)).alias("refs"))
+    return load(spark, d, "documents").select("doc_id", F.md5(text.mask(F.col("text"), _ITEM, _REFERENCE).cast("binary")).alias("digest"))
+
+
+@query("item_mentions", "X15", sql=r"""
+WITH t AS (SELECT doc_id, unnest(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+')) AS word, unnest(range(len(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+')))) AS k FROM documents),
+p AS (SELECT *, (sum(length(word)) OVER (PARTITION BY doc_id ORDER BY k))::BIGINT AS stop FROM t)
+SELECT doc_id, word AS item, stop - length(word) AS begin, stop AS "end" FROM p WHERE regexp_full_match(word, '[Tt]h[a-z]{2}') AND NOT (stop > 40 AND stop - length(word) < 90)""")
+def item_mentions(spark, d):
+    docs = load(spark, d, "documents").select("doc_id", "text")
+    return text.find_items(docs, _REFERENCE, F.array(F.struct(F.lit(40).alias("begin"), F.lit(90).alias("end"))))
 
 
 @query("token_estimates", "L1", "L2", "K10", "L4", sql="""

@@ -54,15 +54,15 @@ def test_components_of_a_whole_graph(spark, small):
     links = [(f"n{i}", f"n{i + 1}") for i in range(40)] + [(f"r{a}", f"r{b}") for a, b in rng.integers(0, 90, (60, 2)) if a != b] + [("hub", f"h{i}") for i in range(50)]
     small(spark.createDataFrame(links, "src string, dst string"))
     want = _parts(links)
-    assert {r.id: r.component for r in registry.QUERIES["graph_components"](spark, "").collect()} == want
-    sizes = {r.component: r.size for r in registry.QUERIES["graph_component_sizes"](spark, "").collect()}
+    assert {r.id: r.component for r in registry.QUERIES["connected_components"](spark, "").collect()} == want
+    sizes = {r.component: r.size for r in registry.QUERIES["component_sizes"](spark, "").collect()}
     assert len(sizes) > 3 and sizes == {c: list(want.values()).count(c) for c in want.values()}
 
 
 def test_components_have_every_node_with_an_edge(spark):
     d = "/root/testdata/sf0.001"
     ends = {x for r in tables.edges(spark, d).select("src", "dst").collect() for x in r}
-    got = [r.id for r in registry.QUERIES["graph_components"](spark, d).collect()]
+    got = [r.id for r in registry.QUERIES["connected_components"](spark, d).collect()]
     assert len(got) == len(set(got)) and set(got) == ends
 
 
@@ -77,9 +77,8 @@ def test_reverse_walk_has_ten_levels(spark):
 
 
 def test_files_behind_an_order_are_found(spark):
-    got = {r.path for r in registry.QUERIES["all_dependent_files"](spark, "/root/testdata/sf0.001").collect()}
+    got = {r.path for r in registry.QUERIES["dependent_files"](spark, "/root/testdata/sf0.001").collect()}
     assert {"geo/regions.sql"} <= got and any(p.startswith("geo/") and p.endswith("nations.sql") for p in got) and any(p.startswith("customer/") for p in got)
-    assert "U5" not in registry.COVERS["dependent_files"] and registry.COVERS["extra_seed_files"] == ("U5",)
 
 
 def test_neighbours_by_common_terms(spark):
@@ -91,5 +90,5 @@ def test_neighbours_by_common_terms(spark):
     want = {(i, int(j), r) for i in range(90) for r, j in enumerate([j for j in np.lexsort((np.arange(90), -cos[i])) if j != i and cos[i, j] > 0][:6], 1)}
     v = spark.createDataFrame([(int(i), f"t{j}", float(x[i, j])) for i, j in zip(*np.nonzero(x), strict=True)], "id long, term string, w double")
     for block in (corpus.BLOCK, 25):
-        assert {(r.id, r.other, r.rank) for r in corpus.neighbours_of_all(v, 6, block).collect()} == want
-    assert corpus.neighbours_of_all(v.where("false"), 6).count() == 0
+        assert {(r.id, r.other, r.rank) for r in corpus.neighbours(v, 6, block).collect()} == want
+    assert corpus.neighbours(v.where("false"), 6).count() == 0
