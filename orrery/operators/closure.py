@@ -7,7 +7,9 @@ only counts reach the driver. Labels (roots, taints) ride along in the key, so m
 
 from __future__ import annotations
 
+import random
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,18 +19,35 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 50_000
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` materialised in the shared folder, without lineage."""
-    spark: SparkSession = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; one of our own where that is unset and the master is local."""
     sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
+    found = sc._jsc.sc().getCheckpointDir()
+    if not found.isDefined():
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None and not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="orrery-"))
+        found = sc._jsc.sc().getCheckpointDir()
+    return found.get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` materialised in the shared folder, without lineage."""
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder, read again: what the optimizer knew of its columns goes as well.
+
+    For long chains of joins of a table with itself, whose constraints would double with each round.
+    """
+    folder = f"{shared_dir(df.sparkSession)}/written-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def reach(seeds: DataFrame, edges: DataFrame, max_hops: int, expands: DataFrame | None = None, key: tuple[str, ...] = ("id",), ready: bool = False) -> DataFrame:
     """``key`` columns and depth: what can be reached from ``seeds`` (``key``) along ``edges`` (src, dst), at its least depth.
 
@@ -137,27 +156,42 @@ def unreachable(nodes: DataFrame, roots: DataFrame, edges: DataFrame, max_hops:
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(id, component) of the ends of ``edges`` (a, b) of any type: component is the smallest id of its part.
 
-    Contraction: in each round every node joins its neighbour of the least rank, ranks being hashes that change from round to
-    round, edges are renamed and loops dropped. So the nodes left fall by a constant factor, whatever the part's diameter.
+    Contraction: in each round every node points at its neighbour of the least rank, ranks being hashes that change from round
+    to round, and once more at where that one points; edges are renamed and loops dropped. So the nodes left fall by a
+    constant factor, whatever the part's diameter. Each round keeps the pointers of the nodes that it still had, which are
+    followed from the last round to the first.
+
+    Ids go as 64-bit hashes, with a seed under which all differ; ranks are these with bits flipped, so that both are numbers.
     """
-    e = cut(edges.where("a <> b").select("a", "b").distinct())
-    members = None
-    for k in range(most_rounds):
+    pairs = written(edges.where("a <> b").select("a", "b").distinct())
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    for seed in range(9):
+        names = written(ids.select("id", F.xxhash64("id", F.lit(seed)).alias("v")))
+        if names.count() == names.select("v").distinct().count():
+            break
+    else:
+        raise RuntimeError("ids collide")
+    e = written(pairs.select(F.xxhash64("a", F.lit(seed)).alias("a"), F.xxhash64("b", F.lit(seed)).alias("b")))
+    bits, rounds = random.Random(5), []
+    for _ in range(most_rounds):
         if e.isEmpty():
             break
-        rank = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(k)).alias("h"), F.col(c).alias("v"))
+        flip = F.lit(bits.getrandbits(64) - (1 << 63))
+        rank = lambda c: F.col(c).bitwiseXOR(flip)  # noqa: E731, B023
         both = e.union(e.select("b", "a")).toDF("v", "w").groupBy("v").agg(F.min(rank("w")).alias("m"))
-        parent = cut(both.select("v", F.when(F.col("m") < rank("v"), F.col("m.v")).otherwise(F.col("v")).alias("p")))
-        if members is None:
-            members = parent.toDF("id", "root")
-        else:
-            members = cut(members.join(parent.toDF("root", "up"), "root", "left").select("id", F.coalesce("up", "root").alias("root")))
+        near = written(both.select("v", F.least("m", rank("v")).bitwiseXOR(flip).alias("p")))
+        parent = written(near.join(near.toDF("p", "up"), "p").select("v", F.col("up").alias("p")))
+        rounds.append(parent)
         e = e.join(parent.toDF("a", "pa"), "a").join(parent.toDF("b", "pb"), "b").where("pa <> pb")
-        e = cut(e.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct())
+        e = written(e.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct())
     else:
         raise RuntimeError("components did not settle")
-    if members is None:
+    if not rounds:
         return edges.select(F.col("a").alias("id"), F.col("a").alias("component")).where(F.lit(False))
+    members = rounds.pop().toDF("v", "root")
+    while rounds:
+        members = rounds.pop().join(members.toDF("p", "root"), "p", "left").select("v", F.coalesce("root", "p").alias("root"))
+    members = written(names.join(members, "v").select("id", "root"))
     least = members.groupBy("root").agg(F.min("id").alias("component"))
     return members.join(least, "root").select("id", "component")
 
