@@ -29,12 +29,14 @@ def bounded_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset and the master is local."""
     jsc = spark.sparkContext._jsc.sc()
     found = jsc.getCheckpointDir()
     if found.isDefined():
         return found.get()
     conf = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not conf and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     spark.sparkContext.setCheckpointDir(conf or tempfile.mkdtemp(prefix="orrery-checkpoint-"))
     return jsc.getCheckpointDir().get()
 

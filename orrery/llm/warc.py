@@ -69,7 +69,10 @@ def members(read, size: int) -> list[Member]:
     """The members that a ZIP's central directory lists. ``read(offset, n)`` gives bytes of the file of ``size`` bytes."""
     tail_at = max(0, size - (1 << 16) - 22)
     tail = read(tail_at, size - tail_at)
+    # The archive's comment may hold the marker, too: the true one has a comment that reaches to the end of the file.
     end = tail.rfind(b"PK\x05\x06")
+    while end >= 0 and (end + 22 > len(tail) or end + 22 + struct.unpack_from("<H", tail, end + 20)[0] != len(tail)):
+        end = tail.rfind(b"PK\x05\x06", 0, end)
     if end < 0:
         raise ValueError("not a ZIP file: no end of central directory")
     count, length, begin = struct.unpack_from("<10xHII", tail, end)

@@ -354,6 +354,9 @@ def test_warc_round_trip(spark):
         assert r.payload_digest == hashlib.sha256((h or "").encode()).hexdigest() and r.payload_bytes == len((h or "").encode())
     five = got[got.page_id == 5].iloc[0]
     assert (five.record_type, five.refers_to) == ("revisit", 3) and (got[got.page_id != 5].record_type == "response").all()
+    long = "x\r\n\r\nWARC/1.1\r\n" * 200_000
+    one = warc.archive(spark.createDataFrame([(4, "u", long, "", "")], PAGES)).first()
+    assert one.payload_bytes == len(long) and one.payload_digest == hashlib.sha256(long.encode()).hexdigest()
     packages = warc.write(pages, common.new_folder(spark, "t"))
     back = {r.page_id: bytes(r.payload).decode() for r in warc.read(packages, payload=True).where("payload is not null").collect()}
     assert back == {i: h or "" for i, _, h, _, _ in data if i != 5}
@@ -370,6 +373,9 @@ def test_zip_directory_in_its_64_bit_form(tmp_path):
         z.writestr("b", b"world!")
     raw = path.read_bytes()
     end = raw.rfind(b"PK\x05\x06")
+    for comment in (b"a comment", b"PK\x05\x06" * 7, b"PK\x05\x06" + bytes(18)):
+        noted = raw[:-2] + struct.pack("<H", len(comment)) + comment
+        assert [m.name for m in warc.members(lambda at, n, x=noted: x[at : at + n], len(noted))] == ["a", "b"]
     count, length, begin = struct.unpack_from("<10xHII", raw, end)
     record = struct.pack("<4sQHHIIQQQQ", b"PK\x06\x06", 44, 45, 45, 0, 0, count, count, length, begin)
     locator = struct.pack("<4sIQI", b"PK\x06\x07", 0, end, 1)
