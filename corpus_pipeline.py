@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that the one before it kept. ``run`` writes every stage's
 rows as Parquet into the shared folder and reads them again, so that a lost executor repeats one stage at most.
+
+Each stage takes tables with further columns, whose names may be those of its own results, and keeps them. Rows with null or
+empty texts are neither toxic, nor copies, nor contaminated; they pass. Rows without a doc_id pass the stages that decide by
+doc_id (near duplicates, decontamination); rows that repeat a doc_id are decided together. Ties go to the smaller doc_id.
+An empty table gives no rows.
 """
 
 from __future__ import annotations
