@@ -134,6 +134,20 @@ def classes(signed: DataFrame) -> DataFrame:
     return signed.where("key is not null").groupBy("key").agg(least, F.count("*").alias("copies")).select("key", F.col("m.doc_id").alias("rep"), "copies", F.col("m.n_shingles").alias("n"), "m.sig", "m.trees")
 
 
+def running_least(values: np.ndarray, new: np.ndarray, carried: int | None) -> np.ndarray:
+    """Before each value the least of its run so far, and at the end that of the last run; the value itself where ``new`` begins one.
+
+    ``carried``: the least of a run that goes on from before.
+    """
+    known, rank = np.unique(values if carried is None else np.append(values, carried), return_inverse=True)
+    run = np.cumsum(new) + 1 - int(new[0])  # 1: the run that goes on, or the first one
+    own = np.r_[rank[-1:] if carried is not None else rank[:1], rank[: len(values)]]
+    runs = np.r_[1, run] * len(known)
+    least = known[np.minimum.accumulate(own - runs) + runs]
+    before = np.where(new, values, least[:-1])
+    return np.append(before, least[-1])
+
+
 #: Deeper levels of a region: bits of ``d`` that two texts of a level don't share.
 LEVELS = (48, 32)
 
@@ -146,7 +160,8 @@ def neighbours(reps: DataFrame) -> DataFrame:
     ordered = rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "t", "k", "d", "rep").sortWithinPartitions("t", "k", "d", "rep")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # Of the row before: its key (t, k, d), rep, place in its region, and the heads of the region and its levels.
+        # Of the row before: its key (t, k, d), rep, place in its region, and the heads so far of the region and its levels. A head
+        # is the least rep so far: in all trees mostly the same one, so that its pairs are few.
         last: list[int] | None = None
         first: tuple | None = None
         schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("ends", pa.list_(pa.int64()))])
@@ -167,20 +182,19 @@ def neighbours(reps: DataFrame) -> DataFrame:
             place = at - start + np.where(opened, 0, last[4] + 1 if goes_on else 0)
             before = np.r_[rep[:1] if last is None else [last[3]], rep[:-1]]
             pairs = [(before[~new], rep[~new])]
-            head = np.where(opened, rep[start], last[5] if goes_on else 0)
-            pairs.append((head[place > 0], rep[place > 0]))
-            heads = [int(head[-1])]
+            least = running_least(rep, new, last[5] if goes_on else None)
+            pairs.append((least[:-1][place > 0], rep[place > 0]))
+            heads = [int(least[-1])]
             for i, bits in enumerate(LEVELS):
                 level = d.view(np.uint64) >> np.uint64(bits)
                 begin = new.copy()
                 begin[1:] |= level[1:] != level[:-1]
                 same = goes_on and (np.int64(last[2]).view(np.uint64) >> np.uint64(bits)) == level[0]
                 begin[0] = not same
-                own = np.maximum.accumulate(np.where(begin, at, 0))
-                inner = np.where(np.maximum.accumulate(begin), rep[own], last[6 + i] if same else 0)
-                crowded = place >= CROWD
-                pairs.append((inner[crowded], rep[crowded]))
-                heads.append(int(inner[-1]))
+                least = running_least(rep, begin, last[6 + i] if same else None)
+                crowded = (place >= CROWD) & ~begin
+                pairs.append((least[:-1][crowded], rep[crowded]))
+                heads.append(int(least[-1]))
             last = [int(t[-1]), int(k[-1]), int(d[-1]), int(rep[-1]), int(place[-1]), *heads]
             a, b = (np.concatenate(x) for x in zip(*pairs, strict=True))
             unlike = a != b

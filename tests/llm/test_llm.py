@@ -247,6 +247,18 @@ def test_near_duplicates_without_ids(spark):
     assert sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in got) == [(0, 0, True), (0, 0, True), (0, 0, True), (0, 4, False), (4, 4, True), (5, 4, False), (7, 4, False), (9, 9, True)]
 
 
+@given(st.lists(st.tuples(st.integers(0, 50), st.booleans()), min_size=1, max_size=30), st.none() | st.integers(-5, 50))
+@settings(max_examples=150, deadline=None)
+def test_running_least(rows, carried):
+    values, new = np.array([v for v, _ in rows]), np.array([n for _, n in rows])
+    new[0] = carried is None
+    got, least = forest.running_least(values, new, carried), carried
+    for v, n, g in zip(values.tolist(), new.tolist(), got.tolist(), strict=False):
+        assert g == (v if n else least)
+        least = v if n else min(least, v)
+    assert got[-1] == least
+
+
 def crowded(families=4, members=60, words=80):
     """Families of texts around one text each, some of which differ from it in a few words, others hardly."""
     rng = np.random.default_rng(17)
@@ -373,7 +385,7 @@ def test_zip_directory_in_its_64_bit_form(tmp_path):
         z.writestr("b", b"world!")
     raw = path.read_bytes()
     end = raw.rfind(b"PK\x05\x06")
-    for comment in (b"a comment", b"PK\x05\x06" * 7, b"PK\x05\x06" + bytes(18)):
+    for comment in (b"a comment", b"PK\x05\x06" * 7, b"x PK\x05\x06" + bytes(30)):
         noted = raw[:-2] + struct.pack("<H", len(comment)) + comment
         assert [m.name for m in warc.members(lambda at, n, x=noted: x[at : at + n], len(noted))] == ["a", "b"]
     count, length, begin = struct.unpack_from("<10xHII", raw, end)
