@@ -6,7 +6,7 @@ from importlib import import_module
 
 from .register import COVERS, ORACLES, QUERIES
 
-for _module in ("graph", "text", "joins", "closures", "logs", "coverage", "clusters", "flows", "ingest"):
+for _module in ("graph", "text", "joins", "linkers", "closures", "logs", "coverage", "clusters", "flows", "ingest"):
     import_module(f"orrery.plans.{_module}")
 
 __all__ = ["COVERS", "ORACLES", "QUERIES"]
