@@ -97,3 +97,9 @@ def gapless(rows: DataFrame, order: str, out: str, buckets: int = 64) -> DataFra
     first = ranged.groupBy("__p").count().select("__p", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__first"))
     inside = F.row_number().over(Window.partitionBy("__p").orderBy(order)) - 1
     return ranged.withColumn("__n", inside).join(F.broadcast(first), "__p").withColumn(out, (F.col("__first") + F.col("__n")).cast("long")).drop("__p", "__n", "__first")  # a row per bucket
+
+
+def graph_verdict(selections: DataFrame, max_extra_tests: int) -> DataFrame:
+    """``selections`` (..., need_analysis, extra_tests) with `verdict`: added_file where an added file needs analysis, too_far_behind beyond the limit, else use."""
+    verdict = F.when(F.col("need_analysis") > 0, "added_file").when(F.col("extra_tests") > max_extra_tests, "too_far_behind").otherwise("use")
+    return selections.withColumn("verdict", verdict)

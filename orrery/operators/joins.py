@@ -200,3 +200,31 @@ def probe_paths(views: DataFrame, patterns: list[str], files: DataFrame) -> Data
     """(view, path): the first convention path, of ``patterns`` with {name}, that is a file."""
     tries = F.array(*[F.replace(F.lit(p), F.lit("{name}"), F.col("name")) for p in patterns])
     return views.select("view", F.posexplode(tries).alias("k", "path")).join(files.select("path").distinct(), "path").groupBy("view").agg(F.min_by("path", "k").alias("path"))
+
+
+#: Endings that are tried for a file named without one, in this order.
+PROBED = (".js", ".ts", ".jsx", ".tsx", ".mjs", ".mts", ".vue", ".json")
+BUILT_FROM = {".js": (".ts", ".tsx"), ".jsx": (".tsx",), ".mjs": (".mts",), ".cjs": (".cts",)}
+
+
+def package_entries(packages: DataFrame, files: DataFrame) -> DataFrame:
+    """(root, entry): the file that a package (root, manifest as JSON) is entered by; ``files`` has a column path.
+
+    What is declared comes first: exports, its entry for "." or conditions import, require and default in this order, then
+    module and main; then index and src/index. Each is tried as it stands, with the endings, as the source of a built file,
+    and as a folder's index. All tries are exploded with their places and joined by equality.
+    """
+    at = lambda p: F.get_json_object("manifest", p)
+    dot = F.coalesce(at("$.exports['.']"), at("$.exports"))
+    condition = F.coalesce(*[F.get_json_object(dot, f"$.{k}") for k in ("import", "require", "default")])
+    exports = F.when(dot.startswith("{"), condition).otherwise(dot)
+    given = F.transform(F.array_compact(F.array(exports, at("$.module"), at("$.main"))), lambda p: F.regexp_replace(p, r"^(\./)+", ""))
+    bases = F.concat(given, F.array(F.lit("index"), F.lit("src/index")))
+
+    def tries(base: Column) -> Column:
+        sources = [F.when(base.endswith(e), F.concat(F.substring(base, F.lit(1), F.length(base) - len(e)), F.lit(x))) for e, to in BUILT_FROM.items() for x in to]
+        return F.array_compact(F.array(base, *[F.concat(base, F.lit(e)) for e in PROBED], *sources, *[F.concat(base, F.lit("/index" + e)) for e in PROBED]))
+
+    every = packages.select("root", F.posexplode(F.flatten(F.transform(bases, tries))).alias("k", "name"))
+    found = every.withColumn("path", F.concat_ws("/", F.when(F.col("root") != "", F.col("root")), "name")).join(files.select("path").distinct(), "path")
+    return found.groupBy("root").agg(F.min_by("path", "k").alias("entry"))

@@ -206,3 +206,14 @@ def graph_calls(documents: DataFrame, operations: DataFrame, fields: DataFrame)
     by_name = by_key(d.where("name <> ''").select("src", F.col("name").alias("key"), "line"), operations.select("id", F.col("name").alias("key")), 0.9)
     rest = d.join(operations.select("name").distinct(), "name", "left_anti")
     return by_name.unionByName(by_key(rest.select("src", F.col("field").alias("key"), "line"), fields.select("id", F.col("name").alias("key")), 0.8))
+
+
+def concepts(symbols: DataFrame, patterns: list[tuple[str, str, str, str]]) -> DataFrame:
+    """(id, framework, concept, value): what framework patterns find in decorators; each (symbol, pattern) once.
+
+    patterns: framework, concept, a regular expression on a decorator's name, and one whose first group is taken from the name as
+    value. The table is a catalogue's, written into the plan, so a symbol meets all patterns without a join.
+    """
+    hit = lambda d, p: F.when(d["name"].rlike(p[2]), F.struct(F.lit(p[0]).alias("framework"), F.lit(p[1]).alias("concept"), F.regexp_extract(d["name"], p[3], 1).alias("value")))
+    found = F.array_distinct(F.array_compact(F.flatten(F.transform("decorators", lambda d: F.array(*[hit(d, p) for p in patterns])))))
+    return symbols.select("id", F.explode(found).alias("x")).select("id", "x.*")

@@ -36,7 +36,7 @@ def _pick(k: int) -> str:
     return f", p{k} AS (SELECT test, count(*) AS n FROM r{k - 1} GROUP BY test ORDER BY count(*) / greatest(1 + test % 5, 1e-9) DESC, test LIMIT 1), r{k} AS (SELECT * FROM r{k - 1} WHERE line NOT IN (SELECT line FROM r{k - 1} WHERE test = (SELECT test FROM p{k})))"
 
 
-@query("greedy_cover", "L7", "L10", "E8", sql=C + ", r0 AS (FROM c)" + "".join(_pick(k) for k in (1, 2, 3)) + " SELECT 1 AS step, test, n AS new_lines FROM p1 UNION ALL SELECT 2, test, n FROM p2 UNION ALL SELECT 3, test, n FROM p3")
+@query("greedy_cover", "L7", "L10", sql=C + ", r0 AS (FROM c)" + "".join(_pick(k) for k in (1, 2, 3)) + " SELECT 1 AS step, test, n AS new_lines FROM p1 UNION ALL SELECT 2, test, n FROM p2 UNION ALL SELECT 3, test, n FROM p3")
 def greedy_cover(spark, d):
     c = _covers(spark, d)
     costs = load(spark, d, "supplier").select(F.col("s_suppkey").alias("test"), (1 + F.col("s_suppkey") % 5).cast("double").alias("cost"))
@@ -76,7 +76,7 @@ def inferred_coverage(spark, d):
     return g.select("l_returnflag", F.round(100.0 * (F.col("n") - F.col("missing") - F.col("not_rerun")) / F.nullif(F.col("n") - F.col("not_rerun"), F.lit(0)), 4).alias("percent"))
 
 
-@query("statement_changes", "U8", "P22", "P25", sql="""
+@query("statement_changes", "U8", sql="""
 SELECT p_partkey AS block, CASE WHEN p_size % 5 = 0 THEN 'new' WHEN p_size % 5 = 1 THEN 'gone' WHEN p_size % 5 = 2 THEN 'whole' WHEN p_size % 5 = 3 THEN 'prose' ELSE 'same' END AS change FROM part""")
 def statement_changes(spark, d):
     p, k = load(spark, d, "part"), F.col("p_size") % 5
@@ -130,3 +130,14 @@ def stored_graph(spark, d):
     graphs.store(g, folder, "build")
     graphs.store(g.where("build = 'b1'"), folder, "build")  # replaces that build alone
     return graphs.newest(spark, folder, "build").select("build", "seq", "node")
+
+
+@query("graph_verdicts", "F20", sql="""
+WITH a AS (SELECT s_nationkey AS k, count(*) FILTER (s_acctbal < -900) AS need_analysis FROM supplier GROUP BY 1), b AS (SELECT c_nationkey AS k, count(*) FILTER (c_mktsegment = 'BUILDING') AS extra_tests FROM customer GROUP BY 1),
+s AS (SELECT n_nationkey, coalesce(need_analysis, 0) AS need_analysis, coalesce(extra_tests, 0) AS extra_tests FROM nation LEFT JOIN a ON a.k = n_nationkey LEFT JOIN b ON b.k = n_nationkey)
+SELECT *, CASE WHEN need_analysis > 0 THEN 'added_file' WHEN extra_tests > 10 THEN 'too_far_behind' ELSE 'use' END AS verdict FROM s""")
+def graph_verdicts(spark, d):
+    added = load(spark, d, "supplier").groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(F.count_if(F.col("s_acctbal") < -900).alias("need_analysis"))
+    extra = load(spark, d, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count_if(F.col("c_mktsegment") == "BUILDING").alias("extra_tests"))
+    s = load(spark, d, "nation").select("n_nationkey").join(added, "n_nationkey", "left").join(extra, "n_nationkey", "left").fillna(0, ["need_analysis", "extra_tests"])
+    return coverage.graph_verdict(s, 10)

@@ -13,7 +13,7 @@ from .register import query, with_
 N, NE, E = with_("nodes"), with_("nodes", "edges"), with_("edges")
 
 
-@query("span_containment", "J3", "P23", "P24", "S15", sql=N + """
+@query("span_containment", "J3", "P23", "S15", sql=N + """
 , s AS (SELECT id AS container, path, line AS start, line + 40 + (line % 3) * 60 AS stop FROM nodes WHERE kind IN ('class', 'function') AND tier IN (2, 3)), p AS (SELECT id, path, line FROM nodes WHERE tier IN (2, 3))
 SELECT id, arg_min(container, (stop - start, container)) AS container FROM p JOIN s USING (path) WHERE line BETWEEN start AND stop AND id <> container GROUP BY id""")
 def span_containment(spark, d):
@@ -70,7 +70,7 @@ def receiver_dispatch(spark, d):
     return joins.unique_dispatch(calls, methods, ["name"], edges(spark, d, "references").select("src", "dst"))
 
 
-@query("nearest_manifest", "J9", "J10", "J11", "J33", sql=N + """
+@query("nearest_manifest", "J9", "J10", "J11", sql=N + """
 , m AS (SELECT DISTINCT concat('m:', s_suppkey) AS manifest, CASE s_suppkey % 3 WHEN 0 THEN '' WHEN 1 THEN 'customer' ELSE concat('customer/', s_nationkey) END AS dir, concat('lib', s_suppkey % 4) AS name, (s_suppkey % 4)::INT AS scope_rank FROM supplier),
 one AS (SELECT dir, name, arg_min(manifest, (scope_rank, manifest)) AS manifest FROM m GROUP BY 1, 2), e AS (SELECT name, min(manifest) AS first, count(*) AS n FROM one GROUP BY 1), i AS (SELECT id, path, concat('lib', line % 5) AS name FROM nodes WHERE tier = 2),
 near AS (SELECT id, i.name, arg_max(manifest, length(dir)) AS near FROM i JOIN one ON i.name = one.name AND (dir = '' OR starts_with(path, dir || '/')) GROUP BY 1, 2)

@@ -183,3 +183,19 @@ _FIELDS = "SELECT concat('q:', s_suppkey) AS id, CASE s_suppkey % 4 WHEN 0 THEN
 @query("graph_calls", sql=f"""WITH d AS (SELECT *, regexp_extract(text, '(?i)^(query|subscription) ([A-Za-z0-9]+)', 2) AS name, concat(CASE WHEN text LIKE 'mutation%' THEN 'Mutation' WHEN text LIKE 'Sub%' THEN 'Subscription' ELSE 'Query' END, '.', regexp_extract(text, '[{{] ([A-Za-z0-9]+)', 1)) AS field FROM ({_CLIENTS})), o AS ({_OPERATIONS}), f AS ({_FIELDS}) """ + _named("SELECT src, name AS key, line FROM d WHERE name <> ''", "SELECT name AS key, id FROM o", 0.9) + " UNION ALL " + _named("SELECT src, field AS key, line FROM d WHERE name NOT IN (SELECT name FROM o)", "SELECT name AS key, id FROM f", 0.8))
 def graph_calls(spark, d):
     return linkers.graph_calls(rows(spark, d, _CLIENTS), rows(spark, d, _OPERATIONS), rows(spark, d, _FIELDS))
+
+
+_DECORATED = "SELECT concat('s:', p_partkey) AS id, CASE p_size % 6 WHEN 0 THEN 'app.get,login' WHEN 1 THEN 'router.post' WHEN 2 THEN 'GetMapping,RestController' WHEN 3 THEN 'app.gets' WHEN 4 THEN 'app.route,app.route' END AS decs FROM part"
+_PATTERNS = [
+    ("web", "route", r"^(app|router)\.(get|post|put|delete|patch)$", r"\.(\w+)$"),
+    ("web", "route", r"^app\.route$", r"^(none)$"),
+    ("beans", "route", r"^(Get|Post|Put|Delete)Mapping$", r"^(\w+)Mapping$"),
+    ("beans", "controller", r"^(Rest)?Controller$", r"^(Rest)"),
+]
+
+
+@query("framework_concepts", "E4", sql=f"""WITH s AS ({_DECORATED}), d AS (SELECT id, unnest(string_split(decs, ',')) AS name FROM s WHERE decs IS NOT NULL)
+SELECT DISTINCT id, CASE WHEN name LIKE 'app%' OR name LIKE 'router%' THEN 'web' ELSE 'beans' END AS framework, CASE WHEN name = 'RestController' THEN 'controller' ELSE 'route' END AS concept,
+  CASE name WHEN 'app.get' THEN 'get' WHEN 'router.post' THEN 'post' WHEN 'GetMapping' THEN 'Get' WHEN 'RestController' THEN 'Rest' ELSE '' END AS value FROM d WHERE name IN ('app.get', 'router.post', 'GetMapping', 'RestController', 'app.route')""")
+def framework_concepts(spark, d):
+    return linkers.concepts(rows(spark, d, _DECORATED), _PATTERNS)

@@ -83,7 +83,7 @@ def retention(spark, d):
     return oplog.retained(g)
 
 
-@query("log_age", "F21", "F20", sql="SELECT user_id, count(*) AS kept, CASE WHEN count(*) > 20 THEN 'use' ELSE 'too_few' END AS verdict FROM events WHERE ts >= TIMESTAMP '2024-01-10' GROUP BY 1")
+@query("log_age", "F21", sql="SELECT user_id, count(*) AS kept, CASE WHEN count(*) > 20 THEN 'use' ELSE 'too_few' END AS verdict FROM events WHERE ts >= TIMESTAMP '2024-01-10' GROUP BY 1")
 def log_age(spark, d):
     kept = load(spark, d, "events").where(F.col("ts") >= F.lit("2024-01-10").cast("timestamp"))
     return kept.groupBy("user_id").agg(F.count("*").alias("kept")).withColumn("verdict", F.when(F.col("kept") > 20, "use").otherwise("too_few"))

@@ -39,6 +39,15 @@ def write_survey(nodes: DataFrame, edges: DataFrame, folder: str) -> None:
     edges.write.mode("overwrite").option("compression", "gzip").json(f"{folder}/edges")
 
 
+def write_document(nodes: DataFrame, edges: DataFrame, folder: str, view: str = "behavior_map") -> None:
+    """One gzipped document, as the format has it: all nodes and edges are one task's row, so this is for surveys of such a size."""
+    node = F.struct("id", "name", "kind", "path", "language", F.col("tier").cast("int").alias("supply_chain_tier"))
+    edge = F.struct("id", "src", "dst", "type", F.col("line").cast("int").alias("line"), F.col("confidence").cast("double").alias("confidence"))
+    n, e = nodes.agg(F.collect_list(node).alias("nodes")), edges.agg(F.collect_list(edge).alias("edges"))
+    whole = n.join(F.broadcast(e), F.lit(True)).select(F.lit(VERSION).alias("schema_version"), F.lit(view).alias("view"), "nodes", "edges")
+    whole.coalesce(1).write.option("compression", "gzip").json(f"{folder}/{SURVEY_NAMES[-1]}")
+
+
 def find_survey(spark: SparkSession, folder: str) -> str | None:
     """The first of SURVEY_NAMES in a folder of any file system that Spark reads."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
