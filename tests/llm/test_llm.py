@@ -139,6 +139,29 @@ def test_rendezvous_moves_little_and_counts_without_gaps(spark, docs, odd):
     assert sharding.shard_documents(odd.where("false"), 8).count() == 0
 
 
+def test_shards_against_direct_computation(spark, docs, odd):
+    import struct
+
+    import xxhash
+
+    def chosen(key, weights, seed):
+        cost = []
+        for s, w in enumerate(weights):
+            h = 42
+            for packed in ([] if key is None else [struct.pack("<q", key)]) + [struct.pack("<i", s), struct.pack("<i", seed)]:
+                h = xxhash.xxh64(packed, seed=h).intdigest()
+            if w > 0:
+                cost.append((-math.log(((h >> 11) + 0.5) / 2.0**53) / w, s))
+        return min(cost)[1]
+
+    for table in (docs, odd):
+        for r in sharding.shard_documents(table, 8).collect():
+            assert (r.shard, r.grown_shard) == (chosen(r.doc_id, [1.0] * 8, 0), chosen(r.doc_id, [1.0] * 9, 0))
+    weights = [0.5, 0.0, 2.0, 1.0]
+    got = spark.range(300).transform(sharding.shard, "id", 4, weights, 9).collect()
+    assert [r.shard for r in got] == [chosen(r.id, weights, 9) for r in got]
+
+
 def test_weighted_shards(spark):
     n = spark.range(20_000).transform(sharding.shard, "id", 3, [1.0, 0.0, 3.0]).groupBy("shard").count().collect()
     got = {r.shard: r["count"] / 20_000 for r in n}
