@@ -18,14 +18,26 @@ from pyspark.sql import functions as F
 from . import common
 
 WORD = r"[^\x20\x09-\x0D]+"
+#: Bytes from which a text isn't cut into an array of words.
+LONG = 1 << 20
 #: Rows whose sizes one task sums up, on average.
 BUCKET_ROWS = 10_000
 
 
 def word_count(text: Column) -> Column:
-    """Number of WORD matches; null: 0. A word begins wherever a byte that isn't white space follows white space."""
-    squeezed = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", " "))
-    return F.when(squeezed == "", F.lit(0)).otherwise(F.length(squeezed) - F.length(F.replace(squeezed, F.lit(" "), F.lit(""))) + 1).cast("long")
+    """Number of WORD matches; null: 0.
+
+    Words are what single blanks part, once other white space is a blank; texts of LONG characters or more, whose words would
+    make a large array, have their runs of white space squeezed and counted instead, which takes three times the time.
+    """
+    given = F.coalesce(text, F.lit(""))
+    blanks = given
+    for c in "\t\n\x0b\x0c\r":
+        blanks = F.replace(blanks, F.lit(c), F.lit(" "))
+    parted = F.size(F.array_remove(F.split(blanks, " "), ""))
+    squeezed = F.trim(F.regexp_replace(given, r"[\x20\x09-\x0D]+", " "))
+    counted = F.when(squeezed == "", F.lit(0)).otherwise(F.length(squeezed) - F.length(F.replace(squeezed, F.lit(" "), F.lit(""))) + 1)
+    return F.when(F.octet_length(given) < LONG, parted).otherwise(counted).cast("long")
 
 
 def water_fill(sources: DataFrame, max_epochs: float = 3.0, share: float = 1.0) -> DataFrame:

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from orrery.llm import common, decontam, forest, html, license, mixing, sharding, tokens, toxicity, vptree, warc
 
@@ -190,6 +191,15 @@ def test_water_fill_matches_iteration(spark, sources):
         assert math.isclose(got[f"s{i}"], v, rel_tol=1e-9, abs_tol=1e-6)
 
 
+def test_word_counts(spark, monkeypatch):
+    texts = [None, "", "a", " a", "a ", " \t\n\x0b\x0c\r ", "a\tb\nc\x0bd\x0ce\rf  g", "\u00a0x\u2003y z", "\x1c\x85a", " ".join("ab" * 50) + "  " * 40]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    want = [len(re.findall(mixing.WORD, t or "")) for t in texts]
+    for most in (mixing.LONG, 3, 0):
+        monkeypatch.setattr(mixing, "LONG", most)
+        assert [r[0] for r in df.select(mixing.word_count(F.col("text"))).collect()] == want
+
+
 def test_mixing(spark, docs, odd):
     for table in (docs, odd):
         got = mixing.mix_documents(table).toPandas()
