@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .aggregates import language_quotas
+from .closure import written
 
 
 def centrality(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -53,10 +54,29 @@ def coverage_first(ranked: DataFrame, files: int, per_file: int = 5, most: int =
     return j.withColumn("phase", phase).orderBy("phase", F.desc("weight"), "id").limit(most)
 
 
+def running(rows: DataFrame, group: str, order: list[Column], value: str) -> DataFrame:
+    """``rows`` with `before` and `total`: the sum of ``value`` of what comes before in its group, and of the whole group.
+
+    Rows are sorted into ranges by group and order, so that a large group spreads over as many tasks as it needs; ranges are
+    summed first, and a row adds what comes before it in its own range. The order must have no ties.
+    """
+    spark = rows.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = written(rows.repartitionByRange(parts, F.col(group), *order).withColumn("__part", F.spark_partition_id()))
+    sums = ranged.groupBy(group, "__part").agg(F.sum(value).alias("__sum"))  # a row for each range and group in it
+    own = Window.partitionBy(group)
+    ahead = own.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(F.col(group).alias("__g"), F.col("__part").alias("__p"), F.coalesce(F.sum("__sum").over(ahead), F.lit(0)).alias("__first"), F.sum("__sum").over(own).alias("total"))
+    inside = Window.partitionBy(group, "__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    placed = ranged.withColumn("__in", F.coalesce(F.sum(value).over(inside), F.lit(0)))
+    joined = placed.join(sums, F.col(group).eqNullSafe(F.col("__g")) & (F.col("__part") == F.col("__p")))
+    return joined.withColumn("before", F.col("__first") + F.col("__in")).select(*rows.columns, "before", "total")
+
+
 def within_budget(rows: DataFrame, cost: str, order: list[Column], budget: int, buckets: str) -> DataFrame:
     """The prefix of the order whose costs stay within ``budget``, for each value of ``buckets``."""
-    run = Window.partitionBy(buckets).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return rows.withColumn("spent", F.sum(cost).over(run).cast("long")).where(F.col("spent") <= budget)
+    spent = running(rows, buckets, order, cost).withColumn("spent", (F.col("before") + F.col(cost)).cast("long"))
+    return spent.where(F.col("spent") <= budget).drop("before", "total")
 
 
 def underrepresented(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, least_share: float = 0.1) -> DataFrame:
@@ -80,7 +100,4 @@ def underrepresented(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, least
 
 def coverage_selection(ranked: DataFrame, share: float) -> DataFrame:
     """For each language, symbols by centrality until they hold ``share`` of its sum; the one that reaches it is in."""
-    order = Window.partitionBy("language").orderBy(F.desc("centrality"), "id")
-    before = F.coalesce(F.sum("centrality").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    total = F.sum("centrality").over(Window.partitionBy("language"))
-    return ranked.withColumn("before", before).withColumn("total", total).where(F.col("before") < F.col("total") * F.lit(share))
+    return running(ranked, "language", [F.desc("centrality"), F.col("id")], "centrality").where(F.col("before") < F.col("total") * F.lit(share))
