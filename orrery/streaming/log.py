@@ -17,9 +17,9 @@ STATE = "clock long, nonce string, priority long, n long"
 OUT = "item long, clock long, nonce string, priority long, n long"
 
 
-def event_stream(spark: SparkSession, path: str, schema) -> DataFrame:
+def event_stream(spark: SparkSession, path: str, schema, files_per_batch: int = 64) -> DataFrame:
     """New Parquet files at ``path``, a file or a folder; a pattern stands for it, since a stream's path may not be a plain file."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 64).parquet(f"{path[:-1]}[{path[-1]}]")
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(f"{path[:-1]}[{path[-1]}]")
 
 
 def fold_stream(ops: DataFrame) -> DataFrame:
