@@ -76,9 +76,12 @@ def handler_slices(spark, d):
     return closure.reach(seeds, edges(spark, d, "contains", "calls"), 2, key=("id", "root")).groupBy("root").agg(F.count("*").alias("size"), F.max("depth").alias("deepest"))
 
 
-#: Least labels spread along the edges; a node's label is replaced, so that rows stay as many as nodes.
+#: Least labels spread along the edges; ids go as their places in order, and a node's label is replaced, so that rows stay as many as nodes.
 _LEAST = E + """
-, both_ AS (SELECT DISTINCT src AS a, dst AS b FROM edges UNION SELECT dst, src FROM edges), w(id, c) USING KEY (id) AS (SELECT DISTINCT a, a FROM both_ UNION SELECT b, min(w.c) FROM w JOIN both_ ON a = w.id JOIN recurring.w AS k ON k.id = b WHERE w.c < k.c GROUP BY b)
+, ends AS (SELECT DISTINCT src AS a, dst AS b FROM edges), ids AS MATERIALIZED (SELECT id, row_number() OVER (ORDER BY id) AS k FROM (SELECT a AS id FROM ends UNION SELECT b FROM ends)),
+n AS MATERIALIZED (SELECT x.k AS a, y.k AS b FROM ends JOIN ids x ON x.id = a JOIN ids y ON y.id = b), both_ AS MATERIALIZED (FROM n UNION SELECT b, a FROM n),
+w(id, c) USING KEY (id) AS (SELECT DISTINCT a, a FROM both_ UNION SELECT b, min(w.c) FROM w JOIN both_ ON a = w.id JOIN recurring.w AS k ON k.id = b WHERE w.c < k.c GROUP BY b),
+parts AS (SELECT x.id, y.id AS component FROM w JOIN ids x ON x.k = w.id JOIN ids y ON y.k = w.c)
 """
 
 
@@ -86,12 +89,12 @@ def _whole_graph(spark, d):
     return closure.components(edges(spark, d).select(F.col("src").alias("a"), F.col("dst").alias("b")))
 
 
-@query("connected_components", "G10", sql=_LEAST + "SELECT id, c AS component FROM w")
+@query("connected_components", "G10", sql=_LEAST + "SELECT id, component FROM parts")
 def connected_components(spark, d):
     return _whole_graph(spark, d)
 
 
-@query("component_sizes", "G10", sql=_LEAST + "SELECT c AS component, count(*) AS size FROM w GROUP BY 1")
+@query("component_sizes", "G10", sql=_LEAST + "SELECT component, count(*) AS size FROM parts GROUP BY 1")
 def component_sizes(spark, d):
     return _whole_graph(spark, d).groupBy("component").agg(F.count("*").alias("size"))
 
