@@ -89,9 +89,9 @@ def digest16(text: Column) -> Column:
     return F.substring(F.sha2(text, 256), 1, 16)
 
 
-def is_prose(items: Column) -> Column:
-    """Whether half of the strings or more hold a space."""
-    return F.size(F.filter(items, lambda x: x.contains(" "))) * 2 >= F.size(items)
+def is_prose(item: Column) -> Column:
+    """Aggregate: whether half of the strings or more hold a space."""
+    return F.count_if(item.contains(" ")) * 2 >= F.count(item)
 
 
 def plain_inline(line: Column) -> Column:

@@ -48,6 +48,17 @@ def fold(records: DataFrame, varying: str, collected: str) -> DataFrame:
     return records.groupBy(*rest).agg(F.sort_array(F.collect_list(varying)).alias(collected)).withColumn("size", F.size(collected))
 
 
+def capped_lists(rows: DataFrame, key: str, value: str, most: int) -> DataFrame:
+    """(key, first, total): the ``most`` smallest values of each key in order, and how many there are.
+
+    Ranks are limited before the exchange and lists hold ``most`` values, so that a key with very many is never gathered.
+    """
+    rank = F.row_number().over(Window.partitionBy(key).orderBy(value))
+    some = rows.select(key, value).withColumn("rank", rank).where(F.col("rank") <= most)
+    lists = some.groupBy(key).agg(F.sort_array(F.collect_list(value)).alias("first"))
+    return lists.join(rows.groupBy(key).agg(F.count(value).alias("total")), key)
+
+
 def constant_groups(edges: DataFrame, emitter: str, threshold: int, excused: Column) -> DataFrame:
     """(emitter, value, n) where one emitter gives one confidence to more than ``threshold`` edges, not all of them excused."""
     g = edges.groupBy(emitter, F.round("confidence", 9).alias("value")).agg(F.count("*").alias("n"), F.count_if(~excused).alias("unexcused"))

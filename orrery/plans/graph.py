@@ -318,9 +318,8 @@ def compact_edges(spark, d):
 SELECT src AS symbol_id, n.kind, node_ids[1:8] AS node_ids, len(node_ids) AS node_ids_total, greatest(2, least(20, 16000 // 2000))::INT AS cap FROM o JOIN nodes n ON n.id = src""")
 def entrypoints_and_features(spark, d):
     cap = names.list_cap(F.lit(16_000))
-    o = edges(spark, d, "contains").groupBy("src").agg(F.sort_array(F.collect_list("dst")).alias("ids"))
-    j = o.join(nodes(spark, d).select(F.col("id").alias("src"), "kind"), "src")
-    return j.select(F.col("src").alias("symbol_id"), "kind", F.slice("ids", 1, cap).alias("node_ids"), F.size("ids").cast("long").alias("node_ids_total"), cap.cast("int").alias("cap"))
+    o = aggregates.capped_lists(edges(spark, d, "contains"), "src", "dst", 20).join(nodes(spark, d).select(F.col("id").alias("src"), "kind"), "src")
+    return o.select(F.col("src").alias("symbol_id"), "kind", F.slice("first", 1, cap).alias("node_ids"), F.col("total").alias("node_ids_total"), cap.cast("int").alias("cap"))
 
 
 @query("dataflow_scope", "A14", sql="""

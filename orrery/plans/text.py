@@ -102,7 +102,7 @@ def fingerprint(spark, d):
 
 @query("prose_lists", "X18", sql="SELECT conv_id, count(*) FILTER (contains(text, ' ')) * 2 >= count(*) AS prose FROM conversations GROUP BY 1")
 def prose_lists(spark, d):
-    return load(spark, d, "conversations").groupBy("conv_id").agg(F.collect_list("text").alias("t")).select("conv_id", text.is_prose(F.col("t")).alias("prose"))
+    return load(spark, d, "conversations").groupBy("conv_id").agg(text.is_prose(F.col("text")).alias("prose"))
 
 
 @query("plain_prose", "X19", sql="SELECT n_nationkey, concat(n_name, ' code link ', n_nationkey) AS line FROM nation")
