@@ -586,6 +586,10 @@ def test_extraction(spark):
     want = "\n".join(["Head line", "First<bold text here. same block", " ".join(f"Second {filler}".split()), "one", "two"])
     assert got[1].text == want and got[2].text == want and got[1].n_chars == len(want)
     assert got[3].text == got[4].text == "" and got[5].text == "plain text & no tags" and got[6].text == "other\nplace"
+    twice = html.extract(pages.union(pages)).collect()
+    assert sorted((r.page_id, r.text) for r in twice) == sorted((i, r.text) for i, r in got.items() for _ in range(2))
+    long = html.extract(spark.createDataFrame([(1, "http://l", f"<article>{'<p>many words here</p>' * 100_000}</article>", "p")], pages.schema)).first()
+    assert long.n_chars == 100_000 * 16 - 1
     assert html.extract(pages.where("false")).count() == 0
 
 
