@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -12,11 +14,20 @@ from orrery.functions.text import cosine
 from .closure import cut
 
 
+#: Probes that are broadcast at once.
+PROBES = 2_000
+
+
 def tag(items: DataFrame, probes: DataFrame, least: float) -> DataFrame:
-    """(id, tags): the sorted names of the probes with cosine ``least`` or more. Probes are a fixed vocabulary, broadcast."""
-    j = items.join(F.broadcast(probes.select(F.col("name"), F.col("v").alias("pv"))), F.lit(True), "left")
-    hit = F.when(cosine(F.col("v"), F.col("pv")) >= least, F.col("name"))
-    return j.groupBy("id").agg(F.sort_array(F.collect_set(hit)).alias("tags"))
+    """(id, tags): the sorted names of the probes with cosine ``least`` or more, for every item.
+
+    Every item meets every probe, a stated vocabulary: slices of about PROBES of them are broadcast one after the other.
+    """
+    p = probes.select("name", F.col("v").alias("pv"))
+    n = max(1, -(-p.count() // PROBES))
+    hits = [items.join(F.broadcast(p.where(F.pmod(F.xxhash64("name"), F.lit(n)) == i)), cosine(F.col("v"), F.col("pv")) >= least).select("id", "name") for i in range(n)]
+    every = reduce(DataFrame.unionByName, hits, items.select("id", F.lit(None).cast("string").alias("name")))
+    return every.groupBy("id").agg(F.sort_array(F.collect_set("name")).alias("tags"))
 
 
 #: Vectors of a block, and rows of a block that are compared with another at once: 32 MB of cosines.

@@ -92,3 +92,15 @@ def test_neighbours_by_common_terms(spark):
     for block in (corpus.BLOCK, 25):
         assert {(r.id, r.other, r.rank) for r in corpus.neighbours(v, 6, block).collect()} == want
     assert corpus.neighbours(v.where("false"), 6).count() == 0
+
+
+def test_tags_of_sliced_probes(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((50, 8))
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    items = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    probes = items.where("id < 20").select(F.concat(F.lit("p"), "id").alias("name"), "v")
+    want = {i: sorted(f"p{j}" for j in range(20) if unit[i] @ unit[j] >= 0.3) for i in range(50)}
+    for most in (vectors.PROBES, 6):
+        monkeypatch.setattr(vectors, "PROBES", most)
+        assert {r.id: r.tags for r in vectors.tag(items, probes, 0.3).collect()} == want
