@@ -206,17 +206,63 @@ def text_slices(column: pa.Array, most: int = 1 << 19) -> Iterator[tuple[int, in
 # --- connected components ----------------------------------------------------------------------
 
 
+#: Edges that one task joins at once: 16 MB of ids.
+TASK_EDGES = 1 << 20
+
+
+def least_reachable(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, the smallest id reachable from each) of the edges from ``a`` to ``b``."""
+    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    part = np.arange(len(ids))
+    while len(x):
+        u, v = part[x], part[y]
+        apart = u != v
+        x, y, u, v = x[apart], y[apart], u[apart], v[apart]
+        np.minimum.at(part, np.maximum(u, v), np.minimum(u, v))
+        while not np.array_equal(up := part[part], part):
+            part = up
+    return ids, ids[part]
+
+
+def _joined(edges: DataFrame, most: int, roots: bool) -> DataFrame:
+    """(id, component) within each ``most`` edges (a, b) of a task, where an id is not its own component or ``roots`` is set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def join(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            ids, least = least_reachable(*np.concatenate(held, 1))
+            keep = roots | (ids != least)
+            ids, least = ids[keep], least[keep]
+            for i in range(0, len(ids), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(x[i : i + (1 << 16)]) for x in (ids, least)], names=["id", "component"])
+
+        held: list[np.ndarray] = []
+        for batch in batches:
+            held.append(np.stack([np.asarray(c) for c in batch.columns]))
+            if sum(x.shape[1] for x in held) >= most:
+                yield from join(held)
+                held = []
+        if held:
+            yield from join(held)
+
+    return edges.select("a", "b").mapInArrow(run, "id long, component long")
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(id, component) of every id in ``edges`` (a, b): component is the smallest id reachable.
 
-    Contraction by random priorities: each round every vertex joins its neighbour of least priority, edges are renamed and
-    loops dropped, so that the number of vertices falls by a constant factor. Each round is checkpointed; only counts
-    reach the driver.
+    Each task first replaces its edges by those from every id to the least of its part, which are never more. Up to
+    TASK_EDGES that are left are joined by one task. Of more, contraction by random priorities makes fewer: each round every
+    vertex joins its neighbour of least priority, edges are renamed and loops dropped, so that the number of vertices falls
+    by a constant factor. Each round is checkpointed. The driver gets counts only, but also keeps what it knows of every
+    job, stage and task; so the rounds are as few as can be.
     """
-    e = cut(edges.where("a <> b").select(F.col("a").cast("long"), F.col("b").cast("long")).distinct())
+    most = TASK_EDGES
+    stars = lambda e: cut(_joined(e, most, False).select(F.col("component").alias("a"), F.col("id").alias("b")))
+    e = stars(edges.where("a <> b").select(F.col("a").cast("long"), F.col("b").cast("long")))
     members = None
     for k in range(most_rounds):
-        if e.isEmpty():
+        if e.count() <= most:
             break
         both = e.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.a", "e.b")
         rank = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(k)).alias("h"), F.col(c).alias("v"))
@@ -229,10 +275,13 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
             up = parent.withColumnsRenamed({"v": "root", "p": "up"})
             members = members.join(up, "root", "left").select("id", F.coalesce("up", "root").alias("root"))
         members = cut(members)
-        e = cut(e.join(left, "a").join(right, "b").where("pa <> pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct())
+        e = stars(e.join(left, "a").join(right, "b").where("pa <> pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct())
     else:
         raise RuntimeError("components did not converge")
+    last = cut(_joined(e.coalesce(1), most + 1, True))
     if members is None:
-        return session(edges).createDataFrame([], "id long, component long")
+        return last
+    members = members.join(last.withColumnsRenamed({"id": "root", "component": "up"}), "root", "left").select("id", F.coalesce("up", "root").alias("root"))
+    members = cut(members)
     least = members.groupBy("root").agg(F.min("id").alias("component"))
     return members.join(least, "root").select("id", "component")

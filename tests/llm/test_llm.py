@@ -1,7 +1,9 @@
 """The training-data operators against brute force, round trips and edge cases."""
 
 import math
+import random
 import re
+import uuid
 import zlib
 
 import numpy as np
@@ -61,6 +63,39 @@ def test_components(spark):
     assert common.components(edges.where("false")).collect() == []
 
 
+def jobs(spark, run) -> int:
+    """Spark jobs that ``run`` starts."""
+    group = uuid.uuid4().hex
+    spark.sparkContext.setJobGroup(group, "")
+    try:
+        run()
+    finally:
+        spark.sparkContext.setJobGroup("", "")
+    return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+
+def test_components_take_few_jobs(spark):
+    """The driver keeps what it knows of every job, stage and task; its memory must not grow with the rounds."""
+    chain = spark.createDataFrame([(i, i + 1) for i in range(3000)], "a long, b long").repartition(8)
+    got = {}
+    assert jobs(spark, lambda: got.update((r.id, r.component) for r in common.components(chain).collect())) <= 12
+    assert got == dict.fromkeys(range(3001), 0)
+
+
+@pytest.mark.parametrize("most", [1, 7, 64])
+def test_components_beyond_a_task(spark, monkeypatch, most):
+    rng = random.Random(most)
+    pairs = [(rng.randrange(400), rng.randrange(400)) for _ in range(300)] + [(i, i + 1) for i in range(1000, 1060)] + [(2000, i) for i in range(2001, 2050)]
+    want = {x: x for a, b in pairs if a != b for x in (a, b)}
+    while any(want[a] != want[b] for a, b in pairs if a != b):
+        for a, b in pairs:
+            if a != b:
+                want[a] = want[b] = min(want[a], want[b])
+    monkeypatch.setattr(common, "TASK_EDGES", most)
+    rows = common.components(spark.createDataFrame(pairs, "a long, b long").repartition(5)).collect()
+    assert {r.id: r.component for r in rows} == want and len(rows) == len(want)
+
+
 # --- op1
 
 
