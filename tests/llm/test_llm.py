@@ -778,3 +778,16 @@ def test_pipeline_stages_on_odd_and_empty_tables(spark, odd):
         if want:
             # Documents without words and without id are there, repeats of another's text are not; the mix may take short ones no time.
             assert {0, 1, 2, None} <= {r.doc_id for r in last.collect()} and 5 not in {r.doc_id for r in last.collect()}
+
+
+def test_pipeline_near_duplicates_of_a_long_chain_take_few_jobs(spark, monkeypatch):
+    """Every text is near the next one only, and the chain is too large for a task: the driver's share must stay small."""
+    import corpus_pipeline as c
+
+    monkeypatch.setattr(forest, "GROUP_ROWS", 20)
+    data = [(i, " ".join(f"w{j}" for j in range(3 * i, 3 * i + 60)), "en", "s", 0) for i in range(300)] + [(1000, "another text of its own", "en", "s", 0)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    got = []
+    n = jobs(spark, lambda: got.extend(r.doc_id for r in c.drop_near_duplicates(spark, docs, D).collect()))
+    assert sorted(got) == [0, 1000]
+    assert n <= 110, n
