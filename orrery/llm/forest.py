@@ -32,6 +32,8 @@ GROUP_ROWS = 4_000
 GROUP_BYTES = 48 << 20
 #: Regions with more members get heads at deeper levels.
 CROWD = 16
+#: So many ids of large groups are broadcast to find their texts, about 12 MB; of more, all texts are dealt out by id once.
+FEW_IDS = 1 << 18
 #: A key with more than this share of the rows is joined apart from others.
 HOT_KEYS = 2_000
 #: Where numbers for rows without an id begin.
@@ -310,8 +312,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     done = gathered.groupBy("component").applyInPandas(compare, "id long, component long")
     done = common.cut(done)
     large = members.where("small is null").select("id", "n", "component")
-    if not large.isEmpty():
-        done = done.unionByName(_large(texts, pairs, large, k, percent))
+    many = large.count()
+    if many:
+        # The texts of large groups are set apart once: every later step would deal out all texts again.
+        wanted = large.select(F.col("id").alias("doc_id"))
+        apart = texts.join(F.broadcast(wanted) if many <= FEW_IDS else wanted, "doc_id").dropDuplicates(["doc_id"])
+        done = done.unionByName(_large(common.cut(apart), pairs, large, k, percent))
     labels = named.select("key", "rep", "copies").join(done.withColumnRenamed("id", "rep"), "rep", "left").select("key", "copies", F.coalesce("component", "rep").alias("label"))
     out = labelled(signed.select("doc_id", "n_shingles", "key"), common.cut(labels))
     label = F.coalesce("label", "doc_id")
@@ -329,9 +335,8 @@ def labelled(signed: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _verified(texts: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole texts are linked; each pair's two texts meet in one row."""
-    one = texts.dropDuplicates(["doc_id"])
-    both = pairs.join(one.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(one.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
+    """The pairs (a, b) whose whole texts are linked; each pair's two texts, one row of ``texts`` for an id, meet in one row."""
+    both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
 
     @F.pandas_udf("boolean")
     def link(ta: pd.Series, tb: pd.Series) -> pd.Series:
@@ -346,7 +351,7 @@ def _verified(texts: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataF
 
 
 def _large(texts: DataFrame, pairs: DataFrame, large: DataFrame, k: int, percent: int) -> DataFrame:
-    """Components of groups too large for a task: (id, component) of ``large`` (id, n, component).
+    """Components of groups too large for a task: (id, component) of ``large`` (id, n, component), whose rows (doc_id, text) ``texts`` holds.
 
     Candidate pairs are verified one by one first. What they leave outside the largest part of its group then meets all
     the group, in tasks of one block of either side; a task gives only the links that join parts.

@@ -300,6 +300,45 @@ def test_near_duplicates_of_a_large_group(spark, monkeypatch):
         assert got == want
 
 
+def shuffled(spark, run) -> int:
+    """Bytes that the Spark jobs of ``run`` write for shuffles."""
+    tracker, group = spark.sparkContext.statusTracker(), uuid.uuid4().hex
+    spark.sparkContext.setJobGroup(group, "")
+    try:
+        run()
+    finally:
+        spark.sparkContext.setJobGroup("", "")
+    stages = {s for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds}
+    return sum(spark.sparkContext._jsc.sc().statusStore().lastStageAttempt(s).shuffleWriteBytes() for s in stages)
+
+
+@pytest.mark.parametrize(("ids", "most"), [(1 << 18, 1.5), (10, 2.5)])
+def test_near_duplicates_of_a_large_group_deal_out_other_texts_once(spark, monkeypatch, ids, most):
+    """Besides the join for small groups, texts outside a group too large for a task go through no shuffle, or one if its ids are many.
+
+    The group's two halves are candidates, but not linked, so that its blocks meet, too.
+    """
+    rng = np.random.default_rng(7)
+    base = [f"w{x}" for x in rng.integers(0, 10_000, 120)]
+    data = {i: " ".join(base[:i] + [f"z{i}"] + base[i + 1 :]) for i in range(40)}
+    for i in range(20, 40):
+        data[i] = " ".join(w if p % 30 else f"y{p}" for p, w in enumerate(data[i].split()))
+    other = {1000 + i: rng.bytes(12_000).hex(" ", 4) for i in range(300)}
+    monkeypatch.setattr(forest, "GROUP_ROWS", 10)
+    monkeypatch.setattr(forest, "FEW_IDS", ids)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        docs = spark.createDataFrame([*data.items(), *other.items()], "doc_id long, text string").repartition(4).localCheckpoint()
+        once = shuffled(spark, lambda: docs.repartition(4, "doc_id").foreach(lambda _: None))
+        got = {}
+        n = shuffled(spark, lambda: got.update((r.doc_id, r.component_id) for r in forest.near_duplicates(docs, 3, 85).collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got == {i: i - i % 20 for i in data} | {i: i for i in other}
+    assert n <= most * once, n / once
+
+
 def test_near_duplicates_of_odd_rows(spark, odd):
     got = forest.near_duplicates(odd, 3, 85).toPandas()
     assert len(got) == odd.count()
