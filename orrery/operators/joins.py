@@ -14,15 +14,36 @@ from pyspark.sql import functions as F
 BIN = 64
 
 
-def innermost_container(points: DataFrame, spans: DataFrame) -> DataFrame:
-    """(id, container): for each point (id, path, line) the narrowest span (container, path, start, end) around it.
+def narrowest(places: DataFrame, spans: DataFrame) -> DataFrame:
+    """(path, start, end, first, second): the two narrowest spans (container, path, start, end) around each place (path, start, end).
 
-    Spans are laid into bins of BIN lines, so a point meets only the spans of its own bin; ties go to the smaller id.
+    first and second are struct(length, container, s), s being the span's start; ties go to the smaller container, and second is
+    there for a place that must not get itself. Spans are laid into bins of BIN lines, so a place meets only the spans of its own
+    bin. Equal places are asked once, and of equal spans two are kept, so that what meets grows with the lines of a file and not
+    with the square of what lies on them.
     """
-    binned = spans.withColumn("bin", F.explode(F.sequence(F.floor(F.col("start") / BIN), F.floor(F.col("end") / BIN))))
-    p = points.withColumn("bin", F.floor(F.col("line") / BIN))
-    j = p.join(binned, ["path", "bin"]).where((F.col("line") >= F.col("start")) & (F.col("line") <= F.col("end")) & (F.col("id") != F.col("container")))
-    return j.groupBy("id").agg(F.min_by("container", F.struct(F.col("end") - F.col("start"), "container")).alias("container"))
+
+    def two(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
+        return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(order))).where("rank <= 2")
+
+    some = two(spans.select("path", F.col("start").alias("s"), F.col("end").alias("e"), "container"), ["path", "s", "e"], "container").drop("rank")
+    binned = some.withColumn("bin", F.explode(F.sequence(F.floor(F.col("s") / BIN), F.floor(F.col("e") / BIN))))
+    asked = places.select("path", "start", "end").distinct().withColumn("bin", F.floor(F.col("start") / BIN))
+    inside = asked.join(binned, ["path", "bin"]).where((F.col("s") <= F.col("start")) & (F.col("end") <= F.col("e")))
+    near = two(inside.select("path", "start", "end", F.struct((F.col("e") - F.col("s")).alias("length"), "container", "s").alias("x")), ["path", "start", "end"], "x")
+    return near.groupBy("path", "start", "end").agg(F.max(F.when(F.col("rank") == 1, F.col("x"))).alias("first"), F.max(F.when(F.col("rank") == 2, F.col("x"))).alias("second"))
+
+
+def innermost(places: DataFrame, spans: DataFrame) -> DataFrame:
+    """(id, x): for each place (id, path, start, end) its narrowest span (container, path, start, end) other than itself, x as in ``narrowest``."""
+    other = F.when(F.col("first.container") != F.col("id"), F.col("first")).otherwise(F.col("second"))
+    found = places.select("id", "path", "start", "end").join(narrowest(places, spans), ["path", "start", "end"])
+    return found.select("id", other.alias("x")).where("x is not null").groupBy("id").agg(F.min("x").alias("x"))
+
+
+def innermost_container(points: DataFrame, spans: DataFrame) -> DataFrame:
+    """(id, container): for each point (id, path, line) the narrowest span (container, path, start, end) around it; ties go to the smaller id."""
+    return innermost(points.select("id", "path", F.col("line").alias("start"), F.col("line").alias("end")), spans).select("id", "x.container")
 
 
 def containment_by_name(children: DataFrame, containers: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from orrery.functions import names
 
 from . import filters
 from .closure import reach
-from .joins import BIN
+from .joins import innermost, narrowest
 
 # Registries and the functions that walk them; framework bases and the methods that the framework calls.
 REGISTRIES = {"register_analyzer": ("run_all_analyzers",), "register_linker": ("run_all_linkers",)}
@@ -56,12 +56,9 @@ def production(symbols: DataFrame) -> DataFrame:
 def grouped_routes(symbols: DataFrame, concept: str) -> DataFrame:
     """Symbols of a concept (controller, router) to the routes of their file whose spans lie in theirs: the narrowest one, 0.8."""
     own = production(symbols)
-    groups = own.where(F.array_contains("concepts", concept)).select(F.col("id").alias("src"), "path", F.col("start").alias("s"), F.col("end").alias("e"))
-    routes = own.where(F.array_contains("concepts", "route")).select(F.col("id").alias("dst"), "path", "start", "end", F.floor(F.col("start") / BIN).alias("bin"))
-    binned = groups.withColumn("bin", F.explode(F.sequence(F.floor(F.col("s") / BIN), F.floor(F.col("e") / BIN))))
-    inside = routes.join(binned, ["path", "bin"]).where((F.col("s") <= F.col("start")) & (F.col("end") <= F.col("e")) & (F.col("src") != F.col("dst")))
-    best = inside.groupBy("dst").agg(F.min_by(F.struct("src", "s"), F.struct(F.col("e") - F.col("s"), "src")).alias("x"))
-    return _edges(best.select("x.src", "dst", F.col("x.s").alias("line")), 0.8)
+    groups = own.where(F.array_contains("concepts", concept)).select(F.col("id").alias("container"), "path", "start", "end")
+    best = innermost(own.where(F.array_contains("concepts", "route")).select("id", "path", "start", "end"), groups)
+    return best.select(F.col("x.container").alias("src"), F.col("id").alias("dst"), F.col("x.s").alias("line"), F.lit(0.8).alias("confidence"), F.lit(False).alias("fallback"))
 
 
 def registry_dispatch(symbols: DataFrame, registries: dict[str, tuple[str, ...]] = REGISTRIES) -> DataFrame:
@@ -179,10 +176,10 @@ def component_usage(lines: DataFrame, symbols: DataFrame) -> DataFrame:
     component = F.col("name").rlike("^[A-Z][A-Za-z0-9]*$") | ((F.col("kind") == "class") & F.coalesce(F.arrays_overlap("bases", F.array(*map(F.lit, COMPONENT_BASES))), F.lit(False)))
     targets = scripts.where(F.col("kind").isin("function", "class") & component).select("id", F.col("name").alias("key"))
     tags = lines.where(F.col("language").isin(*SCRIPTS)).select("path", "line", F.explode(F.regexp_extract_all("text", F.lit(r"<\s*([A-Z][a-zA-Z0-9]*(?:\.[A-Z][a-zA-Z0-9]*)*)\s*[^>]*[>/]"), 1)).alias("key")).distinct()
-    spans = scripts.where(F.col("kind").isin("function", "method", "class")).select("id", "path", "start", "end", F.explode(F.sequence(F.floor(F.col("start") / BIN), F.floor(F.col("end") / BIN))).alias("bin"))
-    around = tags.withColumn("bin", F.floor(F.col("line") / BIN)).join(spans, ["path", "bin"]).where(F.col("line").between(F.col("start"), F.col("end")))
-    inner = around.groupBy("path", "line", "key").agg(F.min_by("id", F.struct(F.col("end") - F.col("start"), "id")).alias("src"))
-    calls = tags.join(inner, ["path", "line", "key"], "left").select(F.coalesce("src", F.col("path")).alias("src"), "key", "line")
+    spans = scripts.where(F.col("kind").isin("function", "method", "class")).select(F.col("id").alias("container"), "path", "start", "end")
+    around = narrowest(tags.select("path", F.col("line").alias("start"), F.col("line").alias("end")), spans)
+    inner = around.select("path", F.col("start").alias("line"), F.col("first.container").alias("src"))
+    calls = tags.join(inner, ["path", "line"], "left").select(F.coalesce("src", F.col("path")).alias("src"), "key", "line")
     return by_key(calls, targets, 0.8)
 
 

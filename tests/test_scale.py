@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from orrery.operators import corpus
+from orrery.operators import corpus, joins, linkers
 
 
 @pytest.fixture
@@ -44,3 +44,33 @@ def test_neighbours_deal_out_each_text_once(spark, shuffled):
         assert {(r.id, r.other, r.rank) for r in got} == want
         # Dealt to each pair of 30 blocks, the texts alone would be 18,000 and their neighbours 100,000 records.
         assert records < 35_000
+
+
+def test_spans_meet_places_by_lines_not_by_symbols(spark, shuffled):
+    rng = np.random.default_rng(1)
+    spans = [(i, "f", int(a), int(a + b)) for i, (a, b) in enumerate(zip(rng.integers(0, 60, 9_000), rng.choice([3, 20, 70], 9_000), strict=True))]
+    points = [(i, "f", int(x)) for i, x in enumerate(rng.integers(0, 130, 12_000))]
+
+    def best(x, y, i):
+        of = min(((e - s, c) for c, _, s, e in two if s <= x and y <= e and c != i), default=None)
+        return of and of[1]
+
+    # Of equal spans only the two smallest can be an answer.
+    two = [r for g in {x[2:] for x in spans} for r in sorted(x for x in spans if x[2:] == g)[:2]]
+    want = {(i, best(x, x, i)) for i, _, x in points}
+    df = spark.createDataFrame(spans, "container long, path string, start int, `end` int")
+    run = lambda: joins.innermost_container(spark.createDataFrame(points, "id long, path string, line int"), df).collect()
+    got, records = shuffled(run)
+    assert {tuple(r) for r in got} == {w for w in want if w[1] is not None} and len(got) > 9_000
+    assert records < 40_000
+    symbols = spark.createDataFrame([(f"s{c:05}", "f", "r", s, e, [("controller", "route")[c % 2]]) for c, _, s, e in spans], "id string, path string, name string, start int, `end` int, concepts array<string>")
+    groups = sorted((e - s, f"s{c:05}", s, e) for c, _, s, e in spans if c % 2 == 0)
+    routes = {(f"s{c:05}", next(((g[1], g[2]) for g in groups if g[2] <= s and e <= g[3]), None)) for c, _, s, e in spans[:400] if c % 2}
+    got = {r.dst: (r.src, r.line) for r in linkers.grouped_routes(symbols, "controller").collect()}
+    assert {(d, got.get(d)) for d, _ in routes} == routes
+
+
+def test_a_route_is_not_its_own_group(spark):
+    rows = [("a", "f", "r", 1, 9, ["route", "controller"]), ("b", "f", "r", 1, 9, ["controller"]), ("c", "f", "r", 1, 9, ["controller"]), ("d", "g", "r", 1, 9, ["route", "controller"])]
+    symbols = spark.createDataFrame(rows, "id string, path string, name string, start int, `end` int, concepts array<string>")
+    assert [tuple(r) for r in linkers.grouped_routes(symbols, "controller").collect()] == [("b", "a", 1, 0.8, False)]
