@@ -10,6 +10,7 @@ from __future__ import annotations
 import random
 import tempfile
 import uuid
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,19 +49,26 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
-def reach(seeds: DataFrame, edges: DataFrame, max_hops: int, expands: DataFrame | None = None, key: tuple[str, ...] = ("id",), ready: bool = False) -> DataFrame:
+def reach(seeds: DataFrame, edges: DataFrame, max_hops: int | None, expands: DataFrame | None = None, key: tuple[str, ...] = ("id",), ready: bool = False, through: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """``key`` columns and depth: what can be reached from ``seeds`` (``key``) along ``edges`` (src, dst), at its least depth.
 
     ``id`` is the node; further key columns are carried unchanged. ``expands`` (id, from_depth) names nodes that aren't
-    followed from that depth on: hubs, boundaries. A loop over hops; an empty frontier ends it.
+    followed from that depth on: hubs, boundaries. ``through`` (src, at), (at, dst) gives further edges, from each src to
+    each dst of one value, which are walked by that value and never made. A loop over hops; an empty frontier ends it, and
+    nothing else where ``max_hops`` is None.
     """
     rest = [k for k in key if k != "id"]
     seen = frontier = cut(seeds.select(*key).distinct().withColumn("depth", F.lit(0)))
     # Materialised and distinct, else every hop would derive the edges anew; ``ready`` says that they are.
     links = edges.select("src", "dst") if ready else edges.select("src", "dst").distinct()
-    links = cut(links) if max_hops > 1 and not ready else links
+    links = cut(links) if max_hops != 1 and not ready else links
     expands = cut(expands) if expands is not None else None
-    for hop in range(1, max_hops + 1):
+    into, out = [cut(x.distinct()) for x in through] if through else (None, None)
+
+    def step(goes: DataFrame, links: DataFrame, at: str, to: str) -> DataFrame:
+        return goes.join(links, goes["id"] == links[at]).select(F.col(to).alias("id"), *rest).distinct()
+
+    for hop in count(1) if max_hops is None else range(1, max_hops + 1):
         size = frontier.count()
         if not size:
             break
@@ -69,8 +77,10 @@ def reach(seeds: DataFrame, edges: DataFrame, max_hops: int, expands: DataFrame
         if expands is not None:
             goes = frontier.join(expands.where(F.col("from_depth") <= hop - 1), "id", "left_anti")
             goes = F.broadcast(goes) if size <= BROADCAST_ROWS else goes
-        step = goes.join(links, goes["id"] == links["src"]).select(F.col("dst").alias("id"), *rest).distinct()
-        frontier = cut(step.join(seen, list(key), "left_anti").select(*key).withColumn("depth", F.lit(hop)))
+        found = step(goes, links, "src", "dst")
+        if through:
+            found = found.union(step(step(goes, into, "src", "at"), out, "at", "dst")).distinct()
+        frontier = cut(found.join(seen, list(key), "left_anti").select(*key).withColumn("depth", F.lit(hop)))
         seen = seen.unionByName(frontier)
     return seen
 

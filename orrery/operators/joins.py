@@ -208,13 +208,24 @@ def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
     return whole.unionByName(near).join(files.select("path").distinct(), "path").groupBy("id", "module").agg(F.max_by("path", "k").alias("path"))
 
 
-def dispatch(closure: DataFrame, members: DataFrame, rules: DataFrame) -> DataFrame:
-    """(src, dst, framework): classes to the methods that a framework calls on them.
+#: Shares into which the classes of one scope and one set of bases are dealt.
+SHARES = 8
 
-    closure: class, base (all ancestors); members: class, name, method; rules: framework, base, method_name, a fixed table.
+
+def dispatch(closure: DataFrame, classes: DataFrame, methods: DataFrame, rules: DataFrame) -> DataFrame:
+    """(src, dst, framework): classes to the methods of their scope that a framework calls on them.
+
+    closure: class, base (all ancestors); classes: class, scope, which a class has one of; methods: scope, name, method; rules:
+    framework, base, method_name, a fixed table. Classes go by their set of bases of rules, and a method is found once for a scope
+    and a set, so that the last join makes each result row once and nothing else. Its rows may be as many as the square of a scope.
     """
-    bound = closure.join(F.broadcast(rules), "base").select("class", "framework", F.col("method_name").alias("name")).distinct()
-    return bound.join(members, ["class", "name"]).select(F.col("class").alias("src"), F.col("method").alias("dst"), "framework")
+    ruled = closure.join(F.broadcast(rules.select("base").distinct()), "base", "left_semi").groupBy("class").agg(F.sort_array(F.collect_set("base")).alias("bases"))
+    own = ruled.join(classes.distinct(), "class").withColumn("share", F.pmod(F.xxhash64("class"), F.lit(SHARES)))
+    names = ruled.select("bases").distinct().withColumn("base", F.explode("bases")).join(F.broadcast(rules), "base").select("bases", "framework", F.col("method_name").alias("name")).distinct()
+    called = methods.join(names, "name").select("scope", "bases", "method", "framework").distinct()
+    called = called.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1)).cast("array<bigint>")))
+    parts, keys = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")), ["scope", "bases", "share"]  # small before they meet, so that a size would call for few tasks
+    return own.repartition(parts, *keys).join(called.repartition(parts, *keys), keys).select(F.col("class").alias("src"), F.col("method").alias("dst"), "framework")
 
 
 def probe_paths(views: DataFrame, patterns: list[str], files: DataFrame) -> DataFrame:

@@ -113,10 +113,9 @@ def owner_ancestors(spark, d):
 @query("anchored_reach", "G23", "G21", sql=NE + _walk("SELECT 'region:2', 0", 3, "SELECT src, dst FROM edges WHERE type = 'contains' UNION SELECT c.id, s.id FROM nodes c JOIN nodes s ON c.kind = 'function' AND c.id LIKE 'customer:%' AND s.id LIKE 'supplier:%' AND c.line = s.line") + "SELECT id, depth FROM r")
 def anchored_reach(spark, d):
     n = nodes(spark, d)
-    c = n.where("kind = 'function' and id like 'customer:%'").select(F.col("id").alias("src"), "line")
-    s = n.where("id like 'supplier:%'").select(F.col("id").alias("dst"), "line")
-    derived = c.join(s, "line").select("src", "dst")
-    return closure.reach(n.where("id = 'region:2'"), edges(spark, d, "contains").select("src", "dst").union(derived), 3)
+    c = n.where("kind = 'function' and id like 'customer:%'").select(F.col("id").alias("src"), F.col("line").alias("at"))
+    s = n.where("id like 'supplier:%'").select(F.col("line").alias("at"), F.col("id").alias("dst"))
+    return closure.reach(n.where("id = 'region:2'"), edges(spark, d, "contains"), 3, through=(c, s))
 
 
 @query("boundary_slice", "G5", sql=NE + _walk("SELECT 'region:0', 0", 4, "SELECT DISTINCT src, dst FROM edges") + """
@@ -149,15 +148,14 @@ def slow_deselection(spark, d):
 
 
 @query("framework_dispatch", "J28", "J17", sql="""
-WITH RECURSIVE b AS (SELECT p_partkey AS child, p_partkey // 3 AS base FROM part WHERE p_partkey > 0), w(class, id, depth) AS (SELECT p_partkey, p_partkey, 0 FROM part WHERE p_size < 9 UNION SELECT class, base, depth + 1 FROM w JOIN b ON child = id WHERE depth < 10),
+WITH RECURSIVE b AS (SELECT p_partkey AS child, p_partkey // 3 AS base FROM part WHERE p_partkey > 0), w(class, id, depth) AS (SELECT p_partkey, p_partkey, 0 FROM part WHERE p_size < 9 UNION SELECT class, base, depth + 1 FROM w JOIN b ON child = id),
 c AS (SELECT DISTINCT class, id AS base FROM w WHERE depth > 0), rules AS (SELECT unnest(['operators', 'operators', 'hooks']) AS framework, unnest([2, 2, 5]) AS base, unnest(['SMALL', 'PROMO', 'LARGE']) AS name)
 SELECT DISTINCT c.class AS src, p_partkey AS dst, framework FROM c JOIN rules USING (base) JOIN part ON p_type = name AND p_partkey % 50 = c.class % 50""")
 def framework_dispatch(spark, d):
-    p = load(spark, d, "part")
-    bases = p.where("p_partkey > 0").select(F.col("p_partkey").alias("src"), F.floor(F.col("p_partkey") / 3).alias("dst"))
-    seeds = p.where("p_size < 9").select(F.col("p_partkey").alias("id"), F.col("p_partkey").alias("class"))
-    up = closure.reach(seeds, bases, 10, key=("id", "class")).where("depth > 0").select("class", F.col("id").alias("base"))
-    own = p.select("p_partkey", "p_type", (F.col("p_partkey") % 50).alias("k"))
-    members = p.where("p_size < 9").select(F.col("p_partkey").alias("class"), (F.col("p_partkey") % 50).alias("k")).join(own, "k").select("class", F.col("p_type").alias("name"), F.col("p_partkey").alias("method"))
+    p = load(spark, d, "part").withColumn("scope", F.col("p_partkey") % 50)
     rules = spark.createDataFrame([("operators", 2, "SMALL"), ("operators", 2, "PROMO"), ("hooks", 5, "LARGE")], "framework string, base long, method_name string")
-    return joins.dispatch(up, members, rules)
+    # Down from the bases that a rule names: a class is met once for each of them, not with all its ancestors.
+    derived = p.where("p_partkey > 0").select(F.floor(F.col("p_partkey") / 3).alias("src"), F.col("p_partkey").alias("dst"))
+    down = closure.reach(rules.select(F.col("base").alias("id"), "base").distinct(), derived, None, key=("id", "base")).where("depth > 0")
+    classes = p.where("p_size < 9").select(F.col("p_partkey").alias("class"), "scope")
+    return joins.dispatch(down.select(F.col("id").alias("class"), "base"), classes, p.select("scope", F.col("p_type").alias("name"), F.col("p_partkey").alias("method")), rules)

@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from orrery.operators import corpus, joins, linkers
+from orrery.operators import closure, corpus, joins, linkers
+from orrery.plans import registry
 
 
 @pytest.fixture
@@ -74,3 +75,37 @@ def test_a_route_is_not_its_own_group(spark):
     rows = [("a", "f", "r", 1, 9, ["route", "controller"]), ("b", "f", "r", 1, 9, ["controller"]), ("c", "f", "r", 1, 9, ["controller"]), ("d", "g", "r", 1, 9, ["route", "controller"])]
     symbols = spark.createDataFrame(rows, "id string, path string, name string, start int, `end` int, concepts array<string>")
     assert [tuple(r) for r in linkers.grouped_routes(symbols, "controller").collect()] == [("b", "a", 1, 0.8, False)]
+
+
+def test_dispatch_reaches_ancestors_of_any_depth(spark, tmp_path):
+    # p_partkey // 3 leads from 2 * 3 ** 14 to 2 in 14 steps.
+    rows = [(0, 1, "ECONOMY"), (2, 1, "PROMO"), (52, 9, "SMALL"), (102, 9, "LARGE")]
+    rows += [(2 * 3**k, 1 if k == 14 else 9, "LARGE") for k in range(1, 15)] + [(5 * 3**k, 1 if k == 13 else 9, "ECONOMY") for k in range(14)]
+    rows += [(k * 50 + x % 50, 9, t) for k, t in ((10_000_001, "SMALL"), (10_000_002, "LARGE")) for x in (2 * 3**14, 5 * 3**13)]
+    spark.createDataFrame(rows, "p_partkey long, p_size int, p_type string").write.parquet(f"{tmp_path}/part.parquet")
+    got = {tuple(r) for r in registry.QUERIES["framework_dispatch"](spark, str(tmp_path)).collect()}
+    called = {("operators", 2): ("SMALL", "PROMO"), ("hooks", 5): ("LARGE",)}
+    want = {(c, m, f) for c, base in ((2 * 3**14, 2), (5 * 3**13, 5)) for (f, b), names in called.items() if b == base for m, _, t in rows if m % 50 == c % 50 and t in names}
+    assert got == want and len(want) > 1
+
+
+def test_dispatch_makes_its_result_rows_once(spark):
+    make = spark.createDataFrame
+    rules = make([("f", 1, "run"), ("f", 2, "run"), ("f", 2, "stop"), ("g", 2, "run")], "framework string, base long, method_name string")
+    up = make([(c, b) for c in range(10, 30) for b in (1, 2, 3) if b != 2 or c % 2], "class long, base long")
+    classes = make([(c, c % 4) for c in range(10, 40)], "class long, scope long")
+    methods = make([(s, n, m) for m in range(60) for s, n in ((m % 4, ("run", "stop", "other")[m % 3]), (m % 4, "stop" if m % 5 == 0 else "none"))], "scope long, name string, method long")
+    got = [tuple(r) for r in joins.dispatch(up, classes, methods, rules).collect()]
+    names = {m: {("run", "stop", "other")[m % 3]} | ({"stop"} if m % 5 == 0 else set()) for m in range(60)}
+    want = {(c, m, f) for c in range(10, 30) for m in range(60) if m % 4 == c % 4 for f, b, n in (("f", 1, "run"), ("f", 2, "run"), ("f", 2, "stop"), ("g", 2, "run")) if n in names[m] and (b != 2 or c % 2)}
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_derived_edges_are_walked_and_not_made(spark, shuffled):
+    make = spark.createDataFrame
+    edges = make([("root", "a0"), ("b1", "c")], "src string, dst string")
+    into, out = make([(f"a{i}", i % 3) for i in range(3_000)], "src string, at int"), make([(i % 3, f"b{i}") for i in range(3_000)], "at int, dst string")
+    got, records = shuffled(lambda: closure.reach(make([("root",), ("a1",)], "id string"), edges, 3, through=(into, out)).collect())
+    want = {"root": 0, "a1": 0, "a0": 1, "c": 2} | {f"b{i}": 1 if i % 3 == 1 else 2 for i in range(3_000) if i % 3 < 2}
+    assert {r.id: r.depth for r in got} == want and len(got) == len(want)
+    assert records < 30_000  # made, the edges would be 3,000,000
