@@ -49,17 +49,18 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
-def reach(seeds: DataFrame, edges: DataFrame, max_hops: int | None, expands: DataFrame | None = None, key: tuple[str, ...] = ("id",), ready: bool = False, through: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+def reach(seeds: DataFrame, edges: DataFrame, max_hops: int | None, expands: DataFrame | None = None, key: tuple[str, ...] = ("id",), ready: bool = False, through: tuple[DataFrame, DataFrame] | None = None, hub: int | None = None) -> DataFrame:
     """``key`` columns and depth: what can be reached from ``seeds`` (``key``) along ``edges`` (src, dst), at its least depth.
 
     ``id`` is the node; further key columns are carried unchanged. ``expands`` (id, from_depth) names nodes that aren't
     followed from that depth on: hubs, boundaries. ``through`` (src, at), (at, dst) gives further edges, from each src to
-    each dst of one value, which are walked by that value and never made. A loop over hops; an empty frontier ends it, and
-    nothing else where ``max_hops`` is None.
+    each dst of one value, which are walked by that value and never made. Nodes with more than ``hub`` edges are entered and,
+    besides seeds, not followed; they are counted as a hop comes to them. A loop over hops; an empty frontier ends it, and
+    nothing else where ``max_hops`` is None. ``ready`` edges are read by each hop as they are, and may repeat.
     """
     rest = [k for k in key if k != "id"]
     seen = frontier = cut(seeds.select(*key).distinct().withColumn("depth", F.lit(0)))
-    # Materialised and distinct, else every hop would derive the edges anew; ``ready`` says that they are.
+    # Materialised and distinct, else every hop would derive the edges anew; ``ready`` says that this costs less than to write them.
     links = edges.select("src", "dst") if ready else edges.select("src", "dst").distinct()
     links = cut(links) if max_hops != 1 and not ready else links
     expands = cut(expands) if expands is not None else None
@@ -77,7 +78,12 @@ def reach(seeds: DataFrame, edges: DataFrame, max_hops: int | None, expands: Dat
         if expands is not None:
             goes = frontier.join(expands.where(F.col("from_depth") <= hop - 1), "id", "left_anti")
             goes = F.broadcast(goes) if size <= BROADCAST_ROWS else goes
-        found = step(goes, links, "src", "dst")
+        if hub is not None and hop > 1:
+            pairs = cut(goes.join(links, goes["id"] == links["src"]).select("id", *rest, "dst").distinct())
+            full = pairs.select("id", "dst").distinct().groupBy("id").count().where(F.col("count") > hub).select("id")
+            found = pairs.join(full, "id", "left_anti").select(F.col("dst").alias("id"), *rest).distinct()
+        else:
+            found = step(goes, links, "src", "dst")
         if through:
             found = found.union(step(step(goes, into, "src", "at"), out, "at", "dst")).distinct()
         frontier = cut(found.join(seen, list(key), "left_anti").select(*key).withColumn("depth", F.lit(hop)))
@@ -90,7 +96,7 @@ def hubs(edges: DataFrame, threshold: int, from_depth: int = 1) -> DataFrame:
     return edges.select("src", "dst").distinct().groupBy(F.col("src").alias("id")).count().where(F.col("count") > threshold).select("id", F.lit(from_depth).alias("from_depth"))
 
 
-def slice_graph(seeds: DataFrame, nodes: DataFrame, edges: DataFrame, max_hops: int, hub_threshold: int | None = None, max_tier: int | None = None, drop: Column | None = None, min_confidence: float | None = None) -> DataFrame:
+def slice_graph(seeds: DataFrame, nodes: DataFrame, edges: DataFrame, max_hops: int, hub_threshold: int | None = None, max_tier: int | None = None, drop: Column | None = None, min_confidence: float | None = None, ready: bool = False) -> DataFrame:
     """(id, depth, tier): a slice along edges that pass the filters, through nodes of tiers up to ``max_tier``."""
     kept = nodes
     if max_tier is not None:
@@ -100,8 +106,8 @@ def slice_graph(seeds: DataFrame, nodes: DataFrame, edges: DataFrame, max_hops:
     e = edges if min_confidence is None else edges.where(F.col("confidence") >= min_confidence)
     if max_tier is not None or drop is not None:
         e = e.join(kept.select(F.col("id").alias("dst")), "dst", "left_semi")
-    e = cut(e.select("src", "dst").distinct())
-    found = reach(seeds, e, max_hops, hubs(e, hub_threshold) if hub_threshold is not None else None, ready=True)
+    e = e.select("src", "dst") if ready else cut(e.select("src", "dst").distinct())
+    found = reach(seeds, e, max_hops, ready=True, hub=hub_threshold)
     return found.join(kept.select("id", "tier"), "id", "left")
 
 
@@ -113,31 +119,32 @@ def reverse(edges: DataFrame) -> DataFrame:
 FILE_LEVELS = 10
 
 
-def dependent_files(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, key: tuple[str, ...] = ("id",)) -> DataFrame:
+def dependent_files(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, key: tuple[str, ...] = ("id",), ready: bool = False) -> DataFrame:
     """``path`` and the columns of ``key`` besides id: the files of what reaches ``seeds`` (``key``), and their own."""
-    found = reach(seeds, reverse(edges), FILE_LEVELS - 1, key=key)
+    found = reach(seeds, reverse(edges), FILE_LEVELS - 1, key=key, ready=ready)
     return found.join(nodes.where("path is not null").select("id", "path"), "id").select("path", *[k for k in key if k != "id"]).distinct()
 
 
-def extra_seeds(nodes: DataFrame, edges: DataFrame, own: DataFrame, differing: DataFrame, is_test: Column) -> DataFrame:
+def extra_seeds(nodes: DataFrame, edges: DataFrame, own: DataFrame, differing: DataFrame, is_test: Column, ready: bool = False) -> DataFrame:
     """(kind, path): differing files that are no ``own`` ones ('seed'), and test files that only those reach ('test').
 
     ``own`` and ``differing`` have a column path. Both walks run in one loop.
     """
     extra = differing.select("path").distinct().join(own, "path", "left_anti")
     seeds = own.select("path", F.lit(True).alias("own")).unionByName(extra.withColumn("own", F.lit(False)))
-    walked = dependent_files(nodes, edges, nodes.select("id", "path").join(seeds, "path").select("id", "own"), ("id", "own"))
+    walked = dependent_files(nodes, edges, nodes.select("id", "path").join(seeds, "path").select("id", "own"), ("id", "own"), ready)
     tests = walked.where(is_test).groupBy("path").agg(F.max("own").alias("own")).where("not own")
     return extra.select(F.lit("seed").alias("kind"), "path").unionByName(tests.select(F.lit("test").alias("kind"), "path"))
 
 
-def on_paths_to(seeds: DataFrame, targets: DataFrame, edges: DataFrame, max_hops: int) -> DataFrame:
+def on_paths_to(seeds: DataFrame, targets: DataFrame, edges: DataFrame, max_hops: int, ready: bool = False) -> DataFrame:
     """``edges`` (src, dst) of a slice from ``seeds`` that lie on a way to a target: both ends forward and backward reached."""
-    e = cut(edges.select("src", "dst").distinct())
+    e = edges.select("src", "dst") if ready else cut(edges.select("src", "dst").distinct())
     ahead = reach(seeds, e, max_hops, ready=True).select("id")
     back = reach(targets, reverse(e), max_hops, ready=True).select("id")
     both = cut(ahead.join(back, "id", "left_semi"))
-    return e.join(both.withColumnRenamed("id", "src"), "src", "left_semi").join(both.withColumnRenamed("id", "dst"), "dst", "left_semi")
+    goes = F.broadcast(both) if both.count() <= BROADCAST_ROWS else both
+    return e.join(goes.withColumnRenamed("id", "src"), "src", "left_semi").join(goes.withColumnRenamed("id", "dst"), "dst", "left_semi").distinct()
 
 
 def grow(ranked: DataFrame, edges: DataFrame, seed: str, picks: int) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from orrery.operators import closure, corpus, joins, linkers
 from orrery.plans import registry
+from orrery.sources import tables
 
 
 @pytest.fixture
@@ -109,3 +110,24 @@ def test_derived_edges_are_walked_and_not_made(spark, shuffled):
     want = {"root": 0, "a1": 0, "a0": 1, "c": 2} | {f"b{i}": 1 if i % 3 == 1 else 2 for i in range(3_000) if i % 3 < 2}
     assert {r.id: r.depth for r in got} == want and len(got) == len(want)
     assert records < 30_000  # made, the edges would be 3,000,000
+
+
+def test_codes_stand_for_ids(spark):
+    d = "/root/testdata/sf0.001"
+    ids = lambda df, *more: df.select(tables.decoded("src").alias("src"), tables.decoded("dst").alias("dst"), *more)
+    whole = tables.edges(spark, d)
+    assert not ids(tables.coded_edges(spark, d), "type", "line", "confidence").exceptAll(whole.drop("id")).count()
+    assert ids(tables.links(spark, d)).distinct().exceptAll(whole.select("src", "dst").distinct()).isEmpty() and whole.select("src", "dst").exceptAll(ids(tables.links(spark, d))).isEmpty()
+    assert tables.coded_nodes(spark, d).select("label").exceptAll(tables.nodes(spark, d).select("id")).isEmpty()
+
+
+def test_a_walk_reads_ready_edges_without_exchanging_them(spark, shuffled):
+    links = spark.range(200_000).select(F.col("id").alias("src"), (F.col("id") * 7 % 200_000).alias("dst")).union(spark.range(60).select(F.lit(3).cast("long"), F.col("id") + 1_000))
+    got, records = shuffled(lambda: closure.reach(spark.range(3, 4), links, 6, ready=True, hub=50).collect())
+    want, at = {3: 0}, {3}
+    for hop in range(1, 7):
+        at = {y for x in at for y in [x * 7 % 200_000] + (list(range(1_000, 1_060)) if x == 3 else [])} - set(want)
+        want |= dict.fromkeys(at, hop)
+    assert {r.id: r.depth for r in got} == want
+    assert records < 5_000
+    assert {r.id for r in closure.reach(spark.range(2, 4).where("id = 3"), links.union(spark.range(1).select(F.lit(9).cast("long"), F.lit(3).cast("long"))), 2, ready=True, hub=50).collect()} >= {21, 1_000}
