@@ -18,8 +18,8 @@ def metrics_by_language(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def metrics_by_tier(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(tier, nodes, edges, edges_incident): an edge is incident to the distinct tiers of its ends, unknown ends skipped."""
     tier = nodes.select("id", "tier")
-    ends = edges.groupBy("src", "dst").count().join(tier.toDF("src", "src_tier"), "src", "left").join(tier.toDF("dst", "dst_tier"), "dst", "left")
-    pairs = ends.groupBy("src_tier", "dst_tier").agg(F.sum("count").alias("n"))
+    ends = edges.select("src", "dst").join(tier.toDF("src", "src_tier"), "src", "left").join(tier.toDF("dst", "dst_tier"), "dst", "left")
+    pairs = ends.groupBy("src_tier", "dst_tier").agg(F.count("*").alias("n"))
     out = pairs.groupBy(F.col("src_tier").alias("tier")).agg(F.sum("n").alias("edges"))
     incident = pairs.select(F.explode(F.array_distinct(F.array("src_tier", "dst_tier"))).alias("tier"), "n").where("tier is not null").groupBy("tier").agg(F.sum("n").alias("edges_incident"))
     n = nodes.groupBy("tier").agg(F.count("*").alias("nodes"))

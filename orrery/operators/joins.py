@@ -62,15 +62,15 @@ def consecutive(rows: DataFrame, group: str, *order: str) -> DataFrame:
     return rows.withColumn("dst", F.lead("id").over(Window.partitionBy(group).orderBy(*order))).where("dst is not null").select(group, F.col("id").alias("src"), "dst")
 
 
-def recover_calls(calls: DataFrame, hints: DataFrame, methods: DataFrame, known: DataFrame) -> DataFrame:
+def recover_calls(calls: DataFrame, hints: DataFrame, methods: DataFrame, known: DataFrame, text=lambda c: c) -> DataFrame:
     """(src, dst, line, confidence, fallback): unresolved calls tied to a method of a class that their caller mentions.
 
     calls: src, name, line, confidence; hints: src, class, line, confidence; methods: class, name, method; known: src, dst.
-    The hint nearest in line wins, then the smaller class; more than one candidate halves the confidence to 0.5 at most.
+    The hint nearest in line wins, then the smaller class, as ``text`` writes it; more than one candidate halves the confidence to 0.5 at most.
     """
     h = hints.select(F.col("src"), F.col("class"), F.col("line").alias("hline"), F.col("confidence").alias("hconf"))
     j = calls.join(h, "src").join(methods, ["class", "name"])
-    best = F.min_by(F.struct("method", "hconf"), F.struct(F.abs(F.col("line") - F.col("hline")), "class")).alias("best")
+    best = F.min_by(F.struct("method", "hconf"), F.struct(F.abs(F.col("line") - F.col("hline")), text(F.col("class")))).alias("best")
     g = j.groupBy("src", "name", "line").agg(best, F.count("*").alias("n"), F.min("confidence").alias("confidence"))
     base = F.least("confidence", "best.hconf")
     out = g.select("src", F.col("best.method").alias("dst"), "line", F.when(F.col("n") > 1, F.least(base, F.lit(0.5))).otherwise(base).alias("confidence"), (F.col("n") > 1).alias("fallback"))

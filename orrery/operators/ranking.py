@@ -13,10 +13,11 @@ from .aggregates import language_quotas
 from .closure import written
 
 
-def centrality(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """``nodes`` with in_degree, out_degree and centrality (in-degree weighs double)."""
+def centrality(nodes: DataFrame, edges: DataFrame, outward: DataFrame | None = None) -> DataFrame:
+    """``nodes`` with in_degree, out_degree and centrality (in-degree weighs double); ``outward`` has the out-edges where ``edges`` lacks some."""
+    outward = edges if outward is None else outward
     i = edges.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("in_degree"))
-    o = edges.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("out_degree"))
+    o = outward.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("out_degree"))
     j = nodes.join(i, "id", "left").join(o, "id", "left").fillna(0, ["in_degree", "out_degree"])
     return j.withColumn("centrality", (2 * F.col("in_degree") + F.col("out_degree")).cast("long"))
 
@@ -82,6 +83,7 @@ def within_budget(rows: DataFrame, cost: str, order: list[Column], budget: int,
 def underrepresented(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, least_share: float = 0.1) -> DataFrame:
     """(language, id): languages with much of all edge mentions that no seed's neighbour has, and their node of largest degree.
 
+    Where nodes have a ``label`` besides their id, it decides ties and is what is given.
     An edge counts once for each language of its ends; a degree counts different neighbours.
     """
     lang = nodes.select("id", "language")
@@ -95,7 +97,8 @@ def underrepresented(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, least
     lacking = mentions.where(F.col("share") >= least_share).join(reached, "language", "left_anti").select("language")
     degree = sides.groupBy("id").agg(F.count("*").alias("degree"))
     candidates = nodes.join(lacking, "language").join(seeds, "id", "left_anti").join(degree, "id", "left").fillna(0, ["degree"])
-    return candidates.groupBy("language").agg(F.max_by("id", F.struct("degree", "id")).alias("id"))
+    name = "label" if "label" in nodes.columns else "id"
+    return candidates.groupBy("language").agg(F.max_by(name, F.struct("degree", name)).alias("id"))
 
 
 def coverage_selection(ranked: DataFrame, share: float) -> DataFrame:

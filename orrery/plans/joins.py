@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from orrery.functions import names
 from orrery.operators import filters, joins
-from orrery.sources.tables import edges, load, nodes
+from orrery.sources.tables import code, coded_edges, coded_nodes, decoded, edges, links, load, nodes
 
 from .register import query, with_
 
@@ -54,10 +54,13 @@ g AS (SELECT c.src, c.name, c.line, arg_min({{'m': method, 'hc': hconf}}, (abs(c
 SELECT src, best.m AS dst, line, (CASE WHEN n > 1 THEN least(confidence, best.hc, 0.5) ELSE least(confidence, best.hc) END)::DOUBLE AS confidence, n > 1 AS fallback FROM g WHERE (src, best.m) NOT IN (SELECT (src, dst) FROM edges WHERE type = 'references')""")
 def method_call_recovery(spark, d):
     o, p = load(spark, d, "orders"), load(spark, d, "part")
-    calls = o.join(p, F.col("p_partkey") == F.col("o_custkey") % 50).select(F.concat(F.lit("order:"), "o_orderkey").alias("src"), F.col("p_name").alias("name"), (F.col("o_orderkey") % 90).cast("int").alias("line"), F.lit(0.6).alias("confidence"))
-    hints = edges(spark, d, "dispatches_to").select("src", F.col("dst").alias("class"), "line", "confidence")
-    methods = edges(spark, d, "depends_on").join(nodes(spark, d).select(F.col("id").alias("src"), "name"), "src").groupBy(F.col("dst").alias("class"), "name").agg(F.min("src").alias("method"))
-    return joins.recover_calls(calls, hints, methods, edges(spark, d, "references").select("src", "dst"))
+    calls = o.join(p, F.col("p_partkey") == F.col("o_custkey") % 50).select(code("order", "o_orderkey").alias("src"), F.col("p_name").alias("name"), (F.col("o_orderkey") % 90).cast("int").alias("line"), F.lit(0.6).alias("confidence"))
+    hints = coded_edges(spark, d, "dispatches_to").select("src", F.col("dst").alias("class"), "line", "confidence")
+    # The smallest of a class's methods by its id as text; pairs may repeat for that.
+    parts = coded_nodes(spark, d).select(F.col("id").alias("src"), "name", "label")
+    methods = links(spark, d, "depends_on").join(parts, "src").groupBy(F.col("dst").alias("class"), "name").agg(F.min(F.struct("label", "src"))["src"].alias("method"))
+    found = joins.recover_calls(calls, hints, methods, links(spark, d, "references"), decoded)
+    return found.withColumns({"src": decoded("src"), "dst": decoded("dst")})
 
 
 @query("receiver_dispatch", "J8", sql=NE + f"""

@@ -131,3 +131,13 @@ def test_a_walk_reads_ready_edges_without_exchanging_them(spark, shuffled):
     assert {r.id: r.depth for r in got} == want
     assert records < 5_000
     assert {r.id for r in closure.reach(spark.range(2, 4).where("id = 3"), links.union(spark.range(1).select(F.lit(9).cast("long"), F.lit(3).cast("long"))), 2, ready=True, hub=50).collect()} >= {21, 1_000}
+
+
+def test_components_move_forests_and_not_all_edges(spark, shuffled, monkeypatch):
+    monkeypatch.setattr(closure, "FOREST", 20_000)
+    e = spark.range(0, 200_000, 1, 4).select((F.col("id") % 100).alias("a"), (F.col("id") % 100 + 100 * (1 + F.col("id") % 7)).alias("b"))
+    got, records = shuffled(lambda: closure.components(e).collect())
+    assert {r.id: r.component for r in got} == {x + 100 * k: x for x in range(100) for k in [0, *{1 + i % 7 for i in range(x, 20_000, 100)}]} and len(got) == len({r.id for r in got})
+    assert records < 60_000
+    bare = closure.components(e, text=lambda c: F.concat(F.lit("n"), c)).where("id = 'n700'").collect()
+    assert [tuple(r) for r in bare] == [("n700", "n0")]
